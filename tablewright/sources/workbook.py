@@ -170,6 +170,18 @@ def read_workbooks(
 ) -> DataFrame:
     """Rows of one worksheet (or a range of it) of every workbook below ``path``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(path)
+    return workbook_rows(files, worksheet, cell_range, has_header, columns, max_columns)
+
+
+def workbook_rows(
+    files: DataFrame,
+    worksheet: str,
+    cell_range: str | None = None,
+    has_header: bool = True,
+    columns: Sequence[TypedColumn | dict] | None = None,
+    max_columns: int = 1024,
+) -> DataFrame:
+    """Rows of one worksheet of every workbook in the binary column ``content``."""
     typed = typed_columns(columns) if columns is not None else None
     if typed is None:
         if not has_header:

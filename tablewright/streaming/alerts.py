@@ -26,7 +26,6 @@ def match_rules_stream(
     before the shuffle, for logs in which one event is repeated very often.
     """
     timed = runs.where(F.col("status").isin(*TRIGGERS)).withColumn("completed_at", F.col("completed_at").cast("timestamp"))
-    timed = timed.withWatermark("completed_at", delay)
     triggers = rule_triggers(rules)
     hit = (timed["workflow_id"] == triggers["rule_workflow_id"]) & (timed["status"] == triggers["rule_status"])
     matched = timed.join(triggers, hit, "inner").select(
@@ -34,5 +33,5 @@ def match_rules_stream(
         delivery_key(F.col("rule_id"), F.col("run_id"), F.col("status")).alias("delivery_key"),
     )
     if collapse_copies:
-        matched = matched.mapInPandas(_without_copies, matched.schema).withWatermark("completed_at", delay)
-    return matched.dropDuplicatesWithinWatermark(["delivery_key"])
+        matched = matched.mapInPandas(_without_copies, matched.schema)
+    return matched.withWatermark("completed_at", delay).dropDuplicatesWithinWatermark(["delivery_key"])
