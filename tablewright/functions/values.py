@@ -44,6 +44,8 @@ BASE64_TEXT = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$
 ISO_DATE = r"\d{4}-\d{1,2}-\d{1,2}"
 US_DATE = r"\d{1,2}/\d{1,2}/\d{4}"
 CLOCK = r"\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?"
+FULL_CLOCK = r"\d{1,2}:\d{2}:\d{2}(?:\.\d{1,9})?"
+WHITESPACE = " \t\n\x0b\x0c\r"
 OFFSET = r"(?:Z|z|[+-]\d{1,2}:\d{2})"
 DATE_TEXT = rf"^\s*(?:{ISO_DATE}|{US_DATE})\s*$"
 TIMESTAMP_TEXT = rf"^\s*(?:{ISO_DATE}|{US_DATE})(?:[T ]\s*{CLOCK}\s*{OFFSET}?)?\s*$"
@@ -79,24 +81,29 @@ def fail(code: str, message: str) -> Column:
     return F.raise_error(F.lit(f"{code}: {message}"))
 
 
-def _iso_day(text: Column) -> Column:
-    """``M/d/yyyy`` to ``yyyy-M-d``; ISO days pass through."""
-    return F.regexp_replace(text, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
-
-
 def try_timestamp(text: Column) -> Column:
-    """UTC timestamp or null; text without an offset is read as UTC."""
-    trimmed = _iso_day(F.trim(text))
+    """UTC timestamp or null; text without an offset is read as UTC.
+
+    The common ISO forms take one pattern and one cast; only the rest is rewritten first.
+    """
+    loose = F.regexp_replace(F.trim(text), r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
     # Seconds are optional in the text but not in the cast.
-    trimmed = F.regexp_replace(trimmed, r"^(\S+[T ]\s*\d{1,2}:\d{2})(?![:\d])", "$1:00")
-    day_only = trimmed.rlike(rf"^{ISO_DATE}$")
-    has_offset = trimmed.rlike(rf"{CLOCK}\s*{OFFSET}$")
-    full = (
-        F.when(day_only, F.concat(trimmed, F.lit(" 00:00:00Z")))
-        .when(has_offset, trimmed)
-        .otherwise(F.concat(trimmed, F.lit("Z")))
+    timed = F.regexp_replace(loose, r"^(\S+[T ]\s*\d{1,2}:\d{2})(?![:\d])", "$1:00")
+    rewritten = (
+        F.when(timed.rlike(rf"^{ISO_DATE}$"), F.concat(timed, F.lit(" 00:00:00Z")))
+        .when(timed.rlike(rf"{CLOCK}\s*{OFFSET}$"), timed)
+        .otherwise(F.concat(timed, F.lit("Z")))
+    )
+    return (
+        F.when(text.rlike(rf"^{ISO_DATE}[T ]{FULL_CLOCK}{OFFSET}$"), text.try_cast("timestamp"))
+        .when(text.rlike(rf"^{ISO_DATE}$"), F.concat(text, F.lit(" 00:00:00Z")).try_cast("timestamp"))
+        .when(text.rlike(rf"^{ISO_DATE}[T ]{FULL_CLOCK}$"), F.concat(text, F.lit("Z")).try_cast("timestamp"))
+        .when(text.rlike(TIMESTAMP_TEXT), F.upper(rewritten).try_cast("timestamp"))
     )
-    return F.when(text.rlike(TIMESTAMP_TEXT), F.upper(full).try_cast("timestamp"))
+
+
+def _without(text: Column, characters: str) -> Column:
+    return F.translate(text, characters, "")
 
 
 def try_parse(text: Column, kind: str, scale: int = 10) -> Column:
@@ -109,24 +116,26 @@ def try_parse(text: Column, kind: str, scale: int = 10) -> Column:
     if kind == "int64":
         return F.when(text.rlike(INTEGER_TEXT), F.trim(text).try_cast("bigint"))
     if kind == "decimal":
-        bare = F.regexp_replace(text, r"[,\s]", "")
+        bare = _without(text, "," + WHITESPACE)
         # A trailing sign moves to the front.
-        signed = F.regexp_replace(bare, r"^([^+-]+)([+-])$", "$2$1")
+        signed = F.when(bare.endswith("-"), F.concat(F.lit("-"), F.rtrim(bare, F.lit("-")))).otherwise(
+            F.rtrim(bare, F.lit("+"))
+        )
         return F.when(text.rlike(DECIMAL_TEXT), signed.try_cast(T.DecimalType(38, scale)))
     if kind == "double":
-        bare = F.regexp_replace(text, r"[,\s]", "")
-        plain = F.when(bare.rlike("(?i)nan"), F.lit(float("nan"))).otherwise(bare.try_cast("double"))
+        bare = _without(text, "," + WHITESPACE)
+        plain = F.when(F.lower(bare).contains("nan"), F.lit(float("nan"))).otherwise(bare.try_cast("double"))
         return F.when(text.rlike(DOUBLE_TEXT), plain)
     if kind == "timestamp":
         return try_timestamp(text)
     if kind == "guid":
-        bare = F.lower(F.regexp_replace(text, r"[\s{}()-]", ""))
+        bare = F.lower(_without(text, "{}()-" + WHITESPACE))
         return F.when(
             text.rlike(GUID_TEXT),
             F.regexp_replace(bare, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
         )
     if kind == "binary":
-        bare = F.regexp_replace(text, r"\s", "")
+        bare = _without(text, WHITESPACE)
         return F.when(bare.rlike(BASE64_TEXT), F.unbase64(bare))
     raise TabularError("column.type", f"unknown type '{kind}'")
 
@@ -148,9 +157,8 @@ def parse_text(
             )
     else:
         parsed = try_parse(text, kind, scale)
-        value = F.when(parsed.isNotNull(), parsed).otherwise(
-            fail("value.format", f"a value in column '{name}' is not a valid {kind}")
-        )
+        # coalesce, not a null test: the parser runs once per value.
+        value = F.coalesce(parsed, fail("value.format", f"a value in column '{name}' is not a valid {kind}"))
     target = T.DecimalType(38, scale) if kind == "decimal" else LOGICAL_TYPES[kind]
     return F.when(empty, if_empty).otherwise(value).cast(target)
 

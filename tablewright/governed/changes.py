@@ -15,6 +15,7 @@ from tablewright.functions.values import BASE64_TEXT, GUID_TEXT
 from tablewright.governed.cells import parse_public
 from tablewright.governed.contract import ContractColumn, TableContract
 from tablewright.schema import column
+from tablewright.session import written
 
 # Size bounds of staged JSON, in characters.
 MAX_KEY_JSON = 16 * 1024
@@ -77,8 +78,40 @@ def diff_snapshots(original: DataFrame, current: DataFrame, contract: TableContr
     )
 
 
-def _names(part: str) -> Column:
-    return F.coalesce(F.json_object_keys(F.col(f"{part}_json")), F.array().cast("array<string>"))
+PARTS = ("key", "before", "after")
+
+
+def _bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    As generator output they are not copied into the filters and projections above, which
+    would repeat the JSON parsing for every reference.
+    """
+    values = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(values)))
+
+
+def _parsed(changes: DataFrame) -> DataFrame:
+    """Add, per JSON part, ``__<part>_names`` (null unless an object) and ``__<part>``.
+
+    The latter maps lower-case names to JSON kind and text; it is null when names repeat.
+    """
+    named = _bind(changes, {f"__{p}_names": F.json_object_keys(F.col(f"{p}_json")) for p in PARTS})
+
+    def values(part: str) -> Column:
+        parsed = F.from_json(F.col(f"{part}_json"), "map<string,variant>")
+        described = F.transform_values(
+            parsed,
+            lambda _, v: F.struct(
+                # A JSON null may come back as an SQL null or as a null variant.
+                F.coalesce(F.schema_of_variant(v), F.lit("VOID")).alias("kind"),
+                F.try_variant_get(v, "$", "string").alias("text"),
+            ),
+        )
+        clean = F.col(f"__{part}_names").isNotNull() & ~_repeats(F.col(f"__{part}_names"))
+        return F.when(clean, F.transform_keys(described, lambda k, _: F.lower(k)))
+
+    return _bind(named, {f"__{p}": values(p) for p in PARTS})
 
 
 def _lower(names: Column) -> Column:
@@ -89,28 +122,23 @@ def _repeats(names: Column) -> Column:
     return F.size(F.array_distinct(_lower(names))) != F.size(names)
 
 
-def _values(part: str) -> Column:
-    """Property values by lower-case name, keeping JSON kinds; null when not a clean object."""
-    text = F.col(f"{part}_json")
-    parsed = F.from_json(text, "map<string,variant>")
-    clean = F.json_object_keys(text).isNotNull() & ~_repeats(_names(part))
-    return F.when(clean, F.transform_keys(parsed, lambda k, _: F.lower(k)))
+def _value(part: str, c: ContractColumn) -> Column:
+    return F.col(f"__{part}")[F.lit(c.alias.lower())]
 
 
-def _compatible(value: Column, kind: Column, c: ContractColumn) -> Column:
-    """Whether a JSON value of this kind fits the column."""
-    text = F.try_variant_get(value, "$", "string")
+def _compatible(value: Column, c: ContractColumn) -> Column:
+    """Whether a JSON value fits the column."""
+    kind, text = value["kind"], value["text"]
     is_text = kind == "STRING"
-    whole, number = kind == "BIGINT", kind.rlike(r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    number = kind.rlike(r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     if c.type == "boolean":
         fits = kind == "BOOLEAN"
     elif c.type in ("byte", "int16", "int32", "int64"):
-        fits = whole & parse_public(text, c).isNotNull()
+        fits = (kind == "BIGINT") & parse_public(text, c).isNotNull()
     elif c.type == "decimal":
-        fits = number & F.try_variant_get(value, "$", "decimal(38,9)").isNotNull()
+        fits = number & text.try_cast("decimal(38,9)").isNotNull()
     elif c.type in ("single", "double"):
-        spark_type = "float" if c.type == "single" else "double"
-        fits = number & (F.abs(F.try_variant_get(value, "$", spark_type)) < float("inf"))
+        fits = number & (F.abs(text.try_cast("float" if c.type == "single" else "double")) < float("inf"))
     elif c.type == "string":
         fits = is_text if c.max_length is None else is_text & (F.char_length(text) <= c.max_length)
     elif c.type == "guid":
@@ -136,12 +164,13 @@ def validate_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
     op = F.lower("op")
     is_insert, is_update, is_delete = op == "insert", op == "update", op == "delete"
     parts = {"key": (~is_insert, MAX_KEY_JSON), "before": (~is_insert, MAX_ROW_JSON), "after": (~is_delete, MAX_ROW_JSON)}
-    prepared = changes
-    for part in parts:
-        prepared = prepared.withColumn(f"__{part}", _values(part)).withColumn(f"__{part}_names", _lower(_names(part)))
+    nothing = F.array().cast("array<string>")
+    prepared = _bind(
+        _parsed(changes), {f"__{p}_lower": F.coalesce(_lower(F.col(f"__{p}_names")), nothing) for p in PARTS}
+    )
 
     def names(part: str) -> Column:
-        return F.col(f"__{part}_names")
+        return F.col(f"__{part}_lower")
 
     def includes(part: str, wanted: Sequence[str]) -> Column:
         return _all([F.array_contains(names(part), w.lower()) for w in wanted])
@@ -158,8 +187,8 @@ def validate_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
         problems += [
             F.when(needed & text.isNull(), f"change_{part}_required"),
             F.when(F.char_length(text) > limit, f"change_{part}_too_large"),
-            F.when(text.isNotNull() & F.json_object_keys(text).isNull(), f"change_{part}_invalid"),
-            F.when(_repeats(_names(part)), f"change_{part}_duplicate"),
+            F.when(text.isNotNull() & F.col(f"__{part}_names").isNull(), f"change_{part}_invalid"),
+            F.when(_repeats(F.col(f"__{part}_names")), f"change_{part}_duplicate"),
         ]
     keys = [k.alias for k in contract.keys]
     readable = [c.alias for c in contract.readable]
@@ -170,11 +199,8 @@ def validate_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
         problems.append(F.when(used & ~within(part, readable), "change_alias_invalid"))
         wrong = []
         for c in contract.readable:
-            value = F.col(f"__{part}")[F.lit(c.alias.lower())]
-            present = F.array_contains(names(part), c.alias.lower()) & F.col(f"__{part}").isNotNull()
-            # A JSON null may come back as an SQL null or as a null variant.
-            kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-            wrong.append(present & ~_compatible(value, kind, c))
+            value = _value(part, c)
+            wrong.append(value.isNotNull() & ~_compatible(value, c))
         problems.append(F.when(used & _any(wrong), "change_value_invalid"))
     problems.append(F.when(~is_insert & ~includes("before", keys), "change_before_invalid"))
     if contract.concurrency == "row_version":
@@ -194,7 +220,7 @@ def validate_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
         nulls = reduce(
             Column.__add__,
             [
-                F.when(supplies(c) & (F.coalesce(F.schema_of_variant(F.col("__after")[F.lit(c.alias.lower())]), F.lit("VOID")) == "VOID"), 1).otherwise(0)
+                F.when(supplies(c) & (_value("after", c)["kind"] == "VOID"), 1).otherwise(0)
                 for c in components
             ],
         )
@@ -217,20 +243,16 @@ def typed_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
     def typed(part: str, columns: Sequence[ContractColumn]) -> Column:
         cells = []
         for c in columns:
-            text = F.try_variant_get(F.col(f"__{part}")[F.lit(c.alias.lower())], "$", "string")
-            value = F.try_variant_get(F.col(f"__{part}")[F.lit(c.alias.lower())], "$", c.spark_type.simpleString()) if c.type in ("decimal", "single", "double") else parse_public(text, c)
+            text = _value(part, c)["text"]
+            value = text if c.type in ("decimal", "single", "double") else parse_public(text, c)
             cells.append(value.cast(c.spark_type).alias(c.alias))
         return F.struct(*cells)
 
     def present(part: str, columns: Sequence[ContractColumn]) -> Column:
-        names = _lower(_names(part))
-        return F.array_compact(F.array(*[F.when(F.array_contains(names, c.alias.lower()), c.alias) for c in columns]))
+        return F.array_compact(F.array(*[F.when(_value(part, c).isNotNull(), c.alias) for c in columns]))
 
-    prepared = changes
-    for part in ("key", "before", "after"):
-        prepared = prepared.withColumn(f"__{part}", _values(part))
     op = F.lower("op")
-    return prepared.select(
+    return _parsed(changes).select(
         op.alias("op"),
         F.when(op != "insert", typed("key", contract.keys)).alias("key"),
         F.when(op != "insert", typed("before", contract.readable)).alias("before"),
@@ -310,6 +332,8 @@ def apply_changes(target: DataFrame, changes: DataFrame, contract: TableContract
     """
     if contract.concurrency == "read_only":
         raise TabularError("changes.read_only", "the contract does not allow edits")
+    # Judged and applied from one written copy, whose known size lets Spark broadcast it.
+    changes = written(changes, "changes")
     conflicts = find_conflicts(target, changes, contract)
     if conflicts.take(1):
         return ApplyOutcome("Conflict", conflicts, target)

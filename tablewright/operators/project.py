@@ -31,7 +31,7 @@ def coerce(value: Column, source: T.DataType, target: TypedColumn) -> Column:
             # Derived decimals also take exponent text.
             parsed = F.coalesce(parsed, F.trim(value).try_cast(target.spark_type))
         bad = fail("value.format", f"column '{target.name}' is not a valid {target.type}")
-        return F.when(value.isNull() | parsed.isNotNull(), parsed).otherwise(bad)
+        return F.when(value.isNotNull(), F.coalesce(parsed, bad))
     allowed = {
         "boolean": {"boolean"},
         "int64": {"int64", "decimal", "double"},
@@ -87,7 +87,7 @@ def with_variables(df: DataFrame, variables: Mapping[str, Column] | None) -> Dat
 
 def require_value(value: Column, name: str) -> Column:
     """Null fails the job."""
-    return F.when(value.isNull(), fail("value.null", f"column '{name}' must not be null")).otherwise(value)
+    return F.coalesce(value, fail("value.null", f"column '{name}' must not be null"))
 
 
 def rename_like(df: DataFrame, names: Sequence[str]) -> list[str]:

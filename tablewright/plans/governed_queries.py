@@ -11,7 +11,6 @@ from tablewright.governed.cells import normalise_cell
 from tablewright.governed.changes import (
     apply_changes,
     diff_snapshots,
-    find_conflicts,
     typed_changes,
     validate_changes,
 )
@@ -302,7 +301,9 @@ def apply_conflicts(spark, folder):
     stored = orders.where("o_orderstatus <> 'F'").withColumn(
         "o_totalprice", F.when(F.col("o_custkey") < 500, F.col("o_totalprice") + 7).otherwise(F.col("o_totalprice"))
     )
-    return find_conflicts(stored, valid_changes(spark, folder), ORDERS)
+    outcome = apply_changes(stored, valid_changes(spark, folder), ORDERS)
+    assert outcome.status == "Conflict", outcome.status
+    return outcome.conflicts
 
 
 VERSIONED = TableContract(

@@ -20,6 +20,7 @@ from tablewright.oplog.steps import (
     CANCELLED,
     ENDINGS,
     FAILED,
+    PROGRESSED,
     RETRY_SCHEDULED,
     SKIPPED,
     STARTED,
@@ -34,11 +35,15 @@ STEP_SCHEMA = (
     + ", ".join(f"{t} bigint" for t in TOTALS)
     + ", error_code string, version bigint"
 )
-# Attempts so far, events so far, and the running attempt (0 when none is running).
+# Attempts and events so far, and the running attempt (0 when none is running).
 STATE_SCHEMA = "attempts bigint, events bigint, running bigint, started_at timestamp, " + ", ".join(
     f"{t} bigint" for t in TOTALS
 )
-ENDED_AS = {SUCCEEDED: "Succeeded", FAILED: "Failed", RETRY_SCHEDULED: "Failed", CANCELLED: "Cancelled", SKIPPED: "Skipped"}
+KINDS = (STARTED, PROGRESSED, SUCCEEDED, FAILED, RETRY_SCHEDULED, CANCELLED, SKIPPED)
+STATUS = ("Running", "Running", "Succeeded", "Failed", "Failed", "Cancelled", "Skipped")
+START, SKIP, CANCEL = KINDS.index(STARTED), KINDS.index(SKIPPED), KINDS.index(CANCELLED)
+FAILURES = (KINDS.index(FAILED), KINDS.index(RETRY_SCHEDULED))
+NO_TIME = np.datetime64("NaT", "ns")
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
@@ -46,9 +51,11 @@ def fold_stream(events: DataFrame) -> DataFrame:
 
     Events count in arrival order between micro-batches and by ``seq`` within one.
     """
+    code = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")) - 1
     events = with_defaults(events).select(
         F.col("run_id").cast("string").alias("run_id"), F.col("node_id").cast("string").alias("node_id"),
-        "seq", "kind", F.col("at").cast("timestamp").alias("at"), *TOTALS, "error_code",
+        "seq", code.cast("int").alias("code"), F.col("at").cast("timestamp").alias("at"),
+        *[F.coalesce(t, F.lit(0)).alias(t) for t in TOTALS], "error_code",
     )
     return events.groupBy("run_id", "node_id").applyInPandasWithState(
         fold_group, STEP_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
@@ -64,70 +71,76 @@ def latest_steps(log: DataFrame) -> DataFrame:
     return newest.select("run_id", "node_id", "attempt", "__step.*")
 
 
+def _before(flags: np.ndarray, initial: int) -> np.ndarray:
+    """Position of the last flagged event before each event, or ``initial``."""
+    last = np.maximum.accumulate(np.where(flags, np.arange(len(flags)), initial))
+    return np.concatenate([[initial], last[:-1]])
+
+
 def fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one key's events of one micro-batch, vectorised over the events."""
-    attempts, seen, running, started_at, totals = 0, 0, 0, None, [0] * len(TOTALS)
+    """Fold one key's events of one micro-batch with array operations.
+
+    Slot 0 is the attempt already running when the batch came; slot i the i-th one it opens.
+    """
+    attempts, seen, running, started, totals = 0, 0, 0, None, [0] * len(TOTALS)
     if state.exists:
-        attempts, seen, running, started_at, *totals = state.get
-    events = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable", ignore_index=True)
-    n = len(events)
-    kind = events["kind"].to_numpy()
-    starts, ends = kind == STARTED, np.isin(kind, ENDINGS)
-    position = np.arange(n)
-
-    def before(flags: np.ndarray, initial: int) -> np.ndarray:
-        """Position of the last flagged event before each event."""
-        last = np.maximum.accumulate(np.where(flags, position, -2)) if n else position
-        return np.concatenate([[initial], np.maximum(last[:-1], initial)]) if n else position
-
-    # Position -1 stands for the attempt already running when the batch came.
-    last_start, last_end = before(starts, -1 if running else -2), before(ends, -2)
+        attempts, seen, running, started, *totals = state.get
+    parts = [
+        (b["seq"].to_numpy(), b["code"].to_numpy(), b["at"].to_numpy().astype("datetime64[ns]"),
+         b[list(TOTALS)].to_numpy(), b["error_code"].to_numpy(dtype=object))
+        for b in batches
+    ]
+    seq, code, at, reported, errors = (np.concatenate(column) for column in zip(*parts))
+    order = np.argsort(seq, kind="stable")
+    code, at, reported, errors = code[order], at[order], reported[order], errors[order]
+
+    starts, skips = code == START, code == SKIP
+    ends = (code > KINDS.index(PROGRESSED)) & ~skips
+    # Position -1 stands for the carried attempt, -2 for none.
+    last_start, last_end = _before(starts, -1 if running else -2), _before(ends, -2)
     is_running = (last_start >= -1) & (last_start > last_end)
-    opens = starts | (kind == SKIPPED) | ((kind == CANCELLED) & ~is_running)
-    number = np.where(opens, attempts + np.cumsum(opens), 0)
-    home = np.where(opens, position, np.where(is_running, last_start, -3))
-    attempt_at = np.concatenate([number, [running]])  # index -1 is the carried attempt
-    reports = ~(starts | (kind == SKIPPED))
-
-    own = pd.DataFrame({"attempt": attempt_at[home], "row": position})[home >= -1]
-    replaced = starts & is_running
-    own["status"] = [ENDED_AS.get(k) for k in kind[own["row"]]]
-    own["started_at"] = events["at"].where(opens & (kind != SKIPPED))[own["row"]].to_numpy()
-    own["completed_at"] = events["at"].where(ends | (kind == SKIPPED))[own["row"]].to_numpy()
-    for t in TOTALS:
-        own[t] = events[t].where(reports)[own["row"]].to_numpy()
-    failed = np.isin(kind, (FAILED, RETRY_SCHEDULED))
-    own["error_code"] = events["error_code"].fillna(UNNAMED_ERROR).where(failed)[own["row"]].to_numpy()
-    abandoned = pd.DataFrame(
-        {
-            "attempt": attempt_at[last_start[replaced]],
-            "status": "Failed",
-            "completed_at": events["at"][replaced].to_numpy(),
-            "error_code": ABANDONED_ERROR,
-        }
-    )
-    carried = pd.DataFrame({"attempt": [running], "started_at": [started_at], **{t: [v] for t, v in zip(TOTALS, totals)}})
-    parts = [p for p in (own.drop(columns="row"), abandoned, carried if running else None) if p is not None and len(p)]
-    if parts:
-        stacked = pd.concat(parts, ignore_index=True)
-        for c in ("started_at", "completed_at"):
-            stacked[c] = pd.to_datetime(stacked[c])
-        # Each attempt starts and ends at most once, so "first non-null" picks that event.
-        steps = stacked.groupby("attempt", as_index=False).agg(
-            {"status": "first", "started_at": "first", "completed_at": "first", **{t: "max" for t in TOTALS}, "error_code": "first"}
+    opens = starts | skips | ((code == CANCEL) & ~is_running)
+    slot_at = np.concatenate([np.cumsum(opens), [0]])  # the last entry answers position -1
+    belongs = opens | is_running
+    slot = np.where(opens, slot_at[:-1], slot_at[np.maximum(last_start, -1)])
+    count = int(opens.sum()) + 1
+
+    final = np.zeros(count, dtype=int)
+    started_at, completed_at = np.full(count, NO_TIME), np.full(count, NO_TIME)
+    error_code = np.full(count, None, dtype=object)
+    top = np.zeros((count, len(TOTALS)), dtype="int64")
+    if running:
+        started_at[0], top[0] = np.datetime64(pd.Timestamp(started)), totals
+    born = opens & ~skips
+    started_at[slot[born]] = at[born]
+    closes = belongs & (ends | skips)
+    final[slot[closes]], completed_at[slot[closes]] = code[closes], at[closes]
+    failed = belongs & np.isin(code, FAILURES)
+    error_code[slot[failed]] = [UNNAMED_ERROR if pd.isna(e) else e for e in errors[failed]]
+    reports = belongs & ~starts & ~skips
+    np.maximum.at(top, slot[reports], reported[reports])
+    replaces = starts & is_running
+    left = slot_at[np.maximum(last_start[replaces], -1)]
+    final[left], completed_at[left], error_code[left] = FAILURES[0], at[replaces], ABANDONED_ERROR
+
+    first = 0 if running else 1
+    number = np.concatenate([[running], attempts + np.arange(1, count)])
+    still = [i for i in range(first, count) if final[i] == START]
+    attempts, seen = attempts + count - 1, seen + len(code)
+    if still:
+        open_slot = still[-1]
+        state.update(
+            (attempts, seen, int(number[open_slot]), pd.Timestamp(started_at[open_slot]).to_pydatetime(),
+             *[int(v) for v in top[open_slot]])
         )
-        steps["status"] = steps["status"].where(steps["status"].notna(), "Running")
-        for t in TOTALS:
-            steps[t] = steps[t].fillna(0).astype("int64")
-        attempts += int(opens.sum())
-        open_steps = steps[steps["status"] == "Running"]
-        steps["run_id"], steps["node_id"], steps["version"] = key[0], key[1], seen + n
-        if len(open_steps):
-            last = open_steps.iloc[-1]
-            running, started_at, totals = int(last["attempt"]), last["started_at"].to_pydatetime(), [int(last[t]) for t in TOTALS]
-        else:
-            running, started_at, totals = 0, None, [0] * len(TOTALS)
-        state.update((attempts, seen + n, running, started_at, *totals))
-        yield steps[["run_id", "node_id", "attempt", "status", "started_at", "completed_at", *TOTALS, "error_code", "version"]]
     else:
-        state.update((attempts, seen + n, running, started_at, *totals))
+        state.update((attempts, seen, 0, None, *[0] * len(TOTALS)))
+    if first < count:
+        yield pd.DataFrame(
+            {
+                "run_id": key[0], "node_id": key[1], "attempt": number[first:],
+                "status": [STATUS[c] for c in final[first:]], "started_at": started_at[first:],
+                "completed_at": completed_at[first:], **{t: top[first:, i] for i, t in enumerate(TOTALS)},
+                "error_code": error_code[first:], "version": seen,
+            }
+        )
