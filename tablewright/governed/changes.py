@@ -54,7 +54,7 @@ def diff_snapshots(original: DataFrame, current: DataFrame, contract: TableContr
         mutable = [p.alias for p in parts if p.alias in differs]
         together = _any([differs[a] for a in mutable])
         differs.update({a: together for a in mutable})
-    updated = F.array_compact(F.array(*[F.when(test, a) for a, test in differs.items()])) if differs else F.array().cast("array<string>")
+    updated = _present([F.when(test, a) for a, test in differs.items()])
     inserted = F.array(*[F.lit(c.alias) for c in contract.insertable]).cast("array<string>")
     op = (
         F.when(F.col("before").isNull(), "insert")
@@ -82,13 +82,14 @@ PARTS = ("key", "before", "after")
 
 
 def _bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that are computed exactly once per row.
+    """Add columns in a projection of their own, so that later steps reuse their values."""
+    return df.select("*", *[value.alias(name) for name, value in columns.items()])
 
-    As generator output they are not copied into the filters and projections above, which
-    would repeat the JSON parsing for every reference.
-    """
-    values = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(values)))
+
+def _present(codes: Sequence[Column]) -> Column:
+    """The distinct non-null texts, in order; unlike a lambda filter this stays in generated code."""
+    nothing = F.lit(None).cast("string")
+    return F.array_except(F.array(*codes, nothing), F.array(nothing))
 
 
 def _parsed(changes: DataFrame) -> DataFrame:
@@ -168,6 +169,14 @@ def validate_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
     prepared = _bind(
         _parsed(changes), {f"__{p}_lower": F.coalesce(_lower(F.col(f"__{p}_names")), nothing) for p in PARTS}
     )
+    # One step per part keeps the generated methods small enough to be compiled.
+    for part in PARTS:
+        values = {f"__v{i}": _value(part, c) for i, c in enumerate(contract.readable)}
+        looked_up = _bind(prepared, values)
+        wrong = _any(
+            [F.col(v).isNotNull() & ~_compatible(F.col(v), c) for v, c in zip(values, contract.readable)]
+        )
+        prepared = _bind(looked_up, {f"__{part}_wrong": wrong}).drop(*values)
 
     def names(part: str) -> Column:
         return F.col(f"__{part}_lower")
@@ -197,11 +206,7 @@ def validate_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
     for part in parts:
         used = F.lit(True) if part == "key" else (~is_insert if part == "before" else ~is_delete)
         problems.append(F.when(used & ~within(part, readable), "change_alias_invalid"))
-        wrong = []
-        for c in contract.readable:
-            value = _value(part, c)
-            wrong.append(value.isNotNull() & ~_compatible(value, c))
-        problems.append(F.when(used & _any(wrong), "change_value_invalid"))
+        problems.append(F.when(used & F.col(f"__{part}_wrong"), "change_value_invalid"))
     problems.append(F.when(~is_insert & ~includes("before", keys), "change_before_invalid"))
     if contract.concurrency == "row_version":
         originals = [c.alias for c in contract.columns if c.token]
@@ -229,8 +234,18 @@ def validate_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
         problems.append(F.when(~is_delete & (supplied == size) & (nulls > 0) & (nulls < size), "foreign_key_partial_null"))
     required = [c.alias for c in contract.insertable if not c.nullable]
     problems.append(F.when(is_insert & ~includes("after", required), "change_required_values_missing"))
-    found = F.array_distinct(F.array_compact(F.array(*problems)))
-    return prepared.withColumn("problems", found).select(*[column(changes, c) for c in changes.columns], "problems")
+    return prepared.withColumn("problems", _present(problems)).select(*[column(changes, c) for c in changes.columns], "problems")
+
+
+def split_changes(changes: DataFrame, contract: TableContract) -> tuple[DataFrame, DataFrame]:
+    """Valid changes in typed form, and the others with their problems.
+
+    The judged changes are written once: a filter on ``problems`` would otherwise move below
+    the projections that compute it and repeat them.
+    """
+    judged = written(validate_changes(changes, contract), "judged")
+    valid = typed_changes(judged.where(F.size("problems") == 0), contract)
+    return valid, judged.where(F.size("problems") > 0)
 
 
 def _string_array(values: Sequence[str]) -> Column:
@@ -249,7 +264,7 @@ def typed_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
         return F.struct(*cells)
 
     def present(part: str, columns: Sequence[ContractColumn]) -> Column:
-        return F.array_compact(F.array(*[F.when(_value(part, c).isNotNull(), c.alias) for c in columns]))
+        return _present([F.when(_value(part, c).isNotNull(), c.alias) for c in columns])
 
     op = F.lower("op")
     return _parsed(changes).select(
@@ -371,5 +386,5 @@ def changed_state(target: DataFrame, changes: DataFrame, contract: TableContract
 
 
 __all__ = [
-    "ApplyOutcome", "apply_changes", "changed_state", "diff_snapshots", "find_conflicts", "typed_changes", "validate_changes",
+    "ApplyOutcome", "apply_changes", "changed_state", "diff_snapshots", "find_conflicts", "split_changes", "typed_changes", "validate_changes",
 ]

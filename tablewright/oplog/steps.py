@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.session import written
+
 # Event kinds, step states and the error codes of unexplained endings.
 STARTED, PROGRESSED, SKIPPED = "started", "progressed", "skipped"
 SUCCEEDED, FAILED, RETRY_SCHEDULED, CANCELLED = "succeeded", "failed", "retry_scheduled", "cancelled"
@@ -45,8 +47,7 @@ def carried(
     earlier blocks contribute comes from one summary row per key and block.
     """
     maxes, sums = maxes or {}, sums or {}
-    block = F.floor(F.col(order) / F.lit(width))
-    blocked = df.withColumn("__block", block)
+    blocked = df.withColumn("__block", F.expr(f"{order} div {width}L"))
     for name, value in {**maxes, **sums}.items():
         blocked = blocked.withColumn(f"__in_{name}", value)
     summary = blocked.groupBy(*keys, "__block").agg(
@@ -123,30 +124,37 @@ def fold_events(events: DataFrame, width: int | None = None) -> DataFrame:
         .when(kind == SKIPPED, PASSED)
         .otherwise(OPEN)
     )
-    own = F.struct(
-        F.col("step_seq").alias("step_seq"),
-        ending.alias("ending"),
-        F.when(opener & (kind != SKIPPED), F.col("at")).alias("started_at"),
-        F.when(ending != OPEN, F.col("at")).alias("completed_at"),
-        *[F.when(~kind.isin(STARTED, SKIPPED), F.col(t)).alias(t) for t in TOTALS],
-        F.when(ending == BROKEN, F.coalesce("error_code", F.lit(UNNAMED_ERROR))).alias("error_code"),
-    )
-    replaced = F.struct(
-        F.col("abandons").alias("step_seq"),
-        F.lit(ABANDONED).alias("ending"),
-        F.lit(None).cast(located.schema["at"].dataType).alias("started_at"),
-        F.col("at").alias("completed_at"),
-        *[F.lit(None).cast("bigint").alias(t) for t in TOTALS],
-        F.lit(ABANDONED_ERROR).alias("error_code"),
-    )
-    parts = located.select("run_id", "node_id", F.explode(F.array(own, replaced)).alias("p")).where("p.step_seq is not null")
+    named_errors = "error_code" in {c.lower() for c in events.columns}
+    own = {
+        "step_seq": F.col("step_seq"),
+        "ending": ending,
+        "started_at": F.when(opener & (kind != SKIPPED), F.col("at")),
+        "completed_at": F.when(ending != OPEN, F.col("at")),
+        **{t: F.when(~kind.isin(STARTED, SKIPPED), F.col(t)) for t in TOTALS},
+        "error_code": F.when(ending == BROKEN, F.coalesce("error_code", F.lit(UNNAMED_ERROR))),
+    }
+    replaced = {
+        "step_seq": F.col("abandons"),
+        "ending": F.lit(ABANDONED),
+        "started_at": F.lit(None).cast(located.schema["at"].dataType),
+        "completed_at": F.col("at"),
+        **{t: F.lit(None).cast("bigint") for t in TOTALS},
+        "error_code": F.lit(None).cast("string"),
+    }
+    if not named_errors:
+        # Without named errors the aggregation below has only fixed-width values and stays hash-based.
+        own.pop("error_code"), replaced.pop("error_code")
+    both = F.array(*[F.struct(*[v.alias(n) for n, v in side.items()]) for side in (own, replaced)])
+    parts = located.select("run_id", "node_id", F.explode(both).alias("p")).where("p.step_seq is not null")
     steps = parts.groupBy("run_id", "node_id", F.col("p.step_seq").alias("step_seq")).agg(
         F.max("p.ending").alias("ending"),
         F.max("p.started_at").alias("started_at"),
         F.max("p.completed_at").alias("completed_at"),
         *[F.coalesce(F.max(f"p.{t}"), F.lit(0)).cast("bigint").alias(t) for t in TOTALS],
-        F.max("p.error_code").alias("error_code"),
+        *([F.max("p.error_code").alias("error_code")] if named_errors else []),
     )
+    # Numbering reads the attempts twice; written once, the event log is not folded twice.
+    steps = written(steps, "steps")
     numbered = carried(steps, ["run_id", "node_id"], "step_seq", width, sums={"attempt": F.lit(1)})
     status = (
         F.when(F.col("ending") == DONE, "Succeeded")
@@ -155,9 +163,12 @@ def fold_events(events: DataFrame, width: int | None = None) -> DataFrame:
         .when(F.col("ending") == PASSED, "Skipped")
         .otherwise("Running")
     )
+    error = F.when(F.col("ending") == ABANDONED, ABANDONED_ERROR).when(
+        F.col("ending") == BROKEN, F.col("error_code") if named_errors else F.lit(UNNAMED_ERROR)
+    )
     return numbered.select(
         "run_id", "node_id", F.col("attempt").cast("bigint").alias("attempt"), status.alias("status"),
-        "started_at", "completed_at", *TOTALS, "error_code",
+        "started_at", "completed_at", *TOTALS, error.alias("error_code"),
     )
 
 

@@ -11,7 +11,7 @@ from tablewright.governed.cells import normalise_cell
 from tablewright.governed.changes import (
     apply_changes,
     diff_snapshots,
-    typed_changes,
+    split_changes,
     validate_changes,
 )
 from tablewright.governed.contract import ContractColumn, ForeignKey, TableContract, contract_for, project
@@ -269,8 +269,7 @@ def validate_changes_orders(spark, folder):
 
 
 def valid_changes(spark, folder) -> DataFrame:
-    checked = validate_changes(staged_json(spark, folder), ORDERS)
-    return typed_changes(checked.where(F.size("problems") == 0), ORDERS)
+    return split_changes(staged_json(spark, folder), ORDERS)[0]
 
 
 @query(
