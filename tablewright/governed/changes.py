@@ -293,9 +293,15 @@ def find_conflicts(target: DataFrame, changes: DataFrame, contract: TableContrac
     of it are the hits, so a broadcast change set costs no shuffle of the target.
     """
     keys = contract.keys
-    staged = _keyed(changes, contract)
     key_names = [f"__k{i}" for i in range(len(keys))]
-    repeated = staged.groupBy(*key_names).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    judged_columns = ["op", "before", "before_names"]
+    per_key = (
+        _keyed(changes, contract)
+        .groupBy(*key_names)
+        .agg(F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*judged_columns)).alias("__change"))
+    )
+    repeated = per_key.where(F.col("__n") > 1)
+    staged = per_key.where(F.col("__n") == 1).select(*key_names, "__change.*")
     on_key = _all([column(target, k.source) == F.col(f"__k{i}") for i, k in enumerate(keys)])
     hits = target.join(staged, on_key, "inner").select(*key_names, _expected(target, contract).alias("__as_expected"))
     found = hits.groupBy(*[F.col(n).alias(f"__h{i}") for i, n in enumerate(key_names)]).agg(
@@ -311,7 +317,7 @@ def find_conflicts(target: DataFrame, changes: DataFrame, contract: TableContrac
     )
     named = [F.col(n).alias(k.alias) for n, k in zip(key_names, keys)]
     broken = judged.select(*named, reason.alias("reason")).where(F.col("reason").isNotNull())
-    return broken.union(repeated.select(*named, F.lit("key_repeated").alias("reason"))).distinct()
+    return broken.union(repeated.select(*named, F.lit("key_repeated").alias("reason")))
 
 
 def _keyed(changes: DataFrame, contract: TableContract) -> DataFrame:

@@ -106,7 +106,7 @@ def render_path(template: str, variables: Mapping[str, object]) -> str:
     lookup = {n.lower(): v for n, v in variables.items()}
     rendered = []
     for piece in pieces:
-        if not piece.startswith("{"):
+        if not (piece.startswith("{") and piece.endswith("}")):
             if "{" in piece or "}" in piece:
                 raise TabularError("path.template", "unmatched brace in the path template")
             rendered.append(piece)
