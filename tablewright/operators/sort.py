@@ -55,17 +55,18 @@ def _directed(cell: Column, key: SortKey) -> Column:
 
 
 def sort_order(df: DataFrame, keys, tie_breaker: Sequence[str] | None = None) -> list[Column]:
-    """Requested keys, then the tie breaker, then a content hash of the row.
+    """Requested keys, then the tie breaker; without one, a content hash of the row.
 
-    The hash makes the order repeatable and lets range partitioning cut through a hot key;
-    at eight bytes it keeps the sampled range bounds small.
+    Either makes the order repeatable and lets range partitioning cut through a hot key; the
+    hash has eight bytes, which keeps the sampled range bounds small.
     """
     ranking = sort_keys(keys)
     if not 1 <= len(ranking) <= 16:
         raise TabularError("sort.keys", "expected 1 to 16 sort keys")
     check_names([k.column for k in ranking])
     ties = [SortKey(c) for c in tie_breaker or ()]
-    return order_columns(df, ranking + ties) + [row_hash(column(df, c) for c in df.columns)]
+    order = order_columns(df, ranking + ties)
+    return order if ties else [*order, row_hash(column(df, c) for c in df.columns)]
 
 
 def sort_rows(
@@ -78,9 +79,25 @@ def sort_rows(
     return df.orderBy(*order)
 
 
+# Every task sends its best rows to the one that merges them, so only short lists go that way.
+TOP_LIST_ROWS = 2_000
+
+
 def top_rows(df: DataFrame, keys, count: int, tie_breaker: Sequence[str] | None = None) -> DataFrame:
-    """The first ``count`` rows: each task keeps its own best, one merge at the end."""
-    return df.orderBy(*sort_order(df, keys, tie_breaker)).limit(count)
+    """The first ``count`` rows in sort order."""
+    return slice_rows(df.orderBy(*sort_order(df, keys, tie_breaker)), 0, count)
+
+
+def slice_rows(ordered: DataFrame, offset: int, count: int) -> DataFrame:
+    """Rows ``offset + 1`` to ``offset + count`` of an ordered DataFrame.
+
+    Near the top, each task keeps its own best rows and one task merges those lists. Further
+    down the ordered rows are numbered in place, so no task or driver holds what is skipped.
+    """
+    if offset + count <= TOP_LIST_ROWS:
+        return ordered.offset(offset).limit(count) if offset else ordered.limit(count)
+    numbered = number_rows(ordered, "__position")
+    return numbered.where(F.col("__position").between(offset + 1, offset + count)).drop("__position")
 
 
 def number_rows(ordered: DataFrame, name: str = "row_number") -> DataFrame:

@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import TabularError
 from tablewright.functions.values import literal
-from tablewright.operators.sort import number_rows
+from tablewright.operators.sort import slice_rows
 from tablewright.schema import column, field
 
-# Up to this many leading rows are selected by per-task top lists merged in one task.
-SHALLOW_ROWS = 100_000
-
 
 def matching(
     df: DataFrame,
@@ -41,14 +38,12 @@ def matching(
 def page(df: DataFrame, time_column: str, id_column: str, offset: int = 0, limit: int = 50) -> DataFrame:
     """Newest records first, ties by id descending, after skipping ``offset``.
 
-    Deep pages go through distributed row numbers, so no task or driver holds what is skipped.
+    Deep pages cost a distributed sort instead of a list in one task; see ``slice_rows``.
     """
     if offset < 0 or limit < 1:
         raise TabularError("page.range", "the offset is at least 0 and the limit at least 1")
     ordered = df.orderBy(column(df, time_column).desc(), column(df, id_column).desc())
-    if offset + limit <= SHALLOW_ROWS:
-        return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
-    return number_rows(ordered, "__position").where(F.col("__position").between(offset + 1, offset + limit)).drop("__position")
+    return slice_rows(ordered, offset, limit)
 
 
 def total(df: DataFrame) -> DataFrame:

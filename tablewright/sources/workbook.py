@@ -11,6 +11,7 @@ import re
 import zipfile
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -26,9 +27,11 @@ MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 PACKAGE_REL = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+ROW, CELL, VALUE, TEXT = (MAIN + tag for tag in ("row", "c", "v", "t"))
 ROWS_PER_BATCH = 4096
 
 
+@lru_cache(maxsize=16384)
 def column_index(letters: str) -> int:
     number = 0
     for letter in letters.upper():
@@ -89,19 +92,18 @@ def _moment(serial: float) -> str:
 def _cell_text(cell: ElementTree.Element, strings: list[str], date_styles: set[int]) -> str:
     kind = cell.get("t", "n")
     if kind == "inlineStr":
-        return "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
-    value = cell.findtext(f"{MAIN}v") or ""
+        return "".join(t.text or "" for t in cell.iter(TEXT))
+    value = cell.findtext(VALUE) or ""
     if not value:
         return ""
     if kind == "s":
         return strings[int(value)]
     if kind == "b":
         return "TRUE" if value == "1" else "FALSE"
-    if kind == "n" and int(cell.get("s", 0)) in date_styles:
+    if kind == "n" and date_styles and int(cell.get("s", 0)) in date_styles:
         return _moment(float(value))
-    if kind == "n" and re.fullmatch(r"-?\d+\.0+", value):
-        return value.split(".")[0]
-    return value
+    whole, dot, fraction = value.partition(".")
+    return whole if dot and kind == "n" and not fraction.strip("0") else value
 
 
 def sheet_rows(content: bytes, worksheet: str) -> Iterator[tuple[int, dict[int, str]]]:
@@ -111,14 +113,14 @@ def sheet_rows(content: bytes, worksheet: str) -> Iterator[tuple[int, dict[int,
         row_number = 0
         with book.open(_sheet_path(book, worksheet)) as stream:
             for _, element in ElementTree.iterparse(stream):
-                if element.tag != f"{MAIN}row":
+                if element.tag != ROW:
                     continue
                 row_number = int(element.get("r", row_number + 1))
                 cells: dict[int, str] = {}
                 position = 0
-                for cell in element.iter(f"{MAIN}c"):
-                    ref = re.match(r"[A-Za-z]+", cell.get("r", ""))
-                    position = column_index(ref[0]) if ref else position + 1
+                for cell in element.iter(CELL):
+                    letters = cell.get("r", "").rstrip("0123456789")
+                    position = column_index(letters) if letters else position + 1
                     text = _cell_text(cell, strings, date_styles)
                     if text != "":
                         cells[position] = text
