@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import TabularError
-from tablewright.functions.values import TypedColumn, fail, try_parse, typed_columns
+from tablewright.functions.values import TypedColumn, fail, to_text, try_parse, typed_columns
 from tablewright.functions.variables import vars_struct
 from tablewright.schema import actual_name, check_names, column, logical_type, quoted
 
@@ -44,6 +44,8 @@ def coerce(value: Column, source: T.DataType, target: TypedColumn) -> Column:
     }[target.type]
     if kind not in allowed:
         raise TabularError("derive.type", f"column '{target.name}': {kind} cannot become {target.type}")
+    if target.type == "string" and kind in ("double", "timestamp"):
+        return F.when(value.isNotNull(), to_text(value, source))
     return value.cast(target.spark_type)
 
 

@@ -56,6 +56,15 @@ def csv_roundtrip_text(spark, folder):
     return read_delimited(spark, path)
 
 
+@query("SELECT doc_id, text, lang FROM documents")
+def csv_blocks_text(spark, folder):
+    """The same texts read block by block, as files too large for one task are."""
+    path = scratch_path(spark, "documents-csv")
+    write_delimited(table(spark, folder, "documents").select("doc_id", "text", "lang"), path)
+    columns = [TypedColumn("doc_id", "int64", False), TypedColumn("text"), TypedColumn("lang")]
+    return read_delimited(spark, path, columns=columns, split_above=0)
+
+
 @query("SELECT * FROM orders")
 def tsv_roundtrip(spark, folder):
     path = scratch_path(spark, "orders-tsv")

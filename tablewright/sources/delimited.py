@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from tablewright.errors import TabularError
 from tablewright.functions.values import TypedColumn, parse_text, typed_columns
 from tablewright.schema import check_names, quoted
+from tablewright.sources.records import has_crlf, largest_file, quoted_records
+
+# A file above this size is read block by block even when it may hold quoted line breaks.
+SPLIT_ABOVE = 512 * 1024 * 1024
 
 
 def _options(delimiter: str, embedded_newlines: bool) -> dict[str, str]:
@@ -70,15 +74,20 @@ def read_delimited(
     columns: Sequence[TypedColumn | dict] | None = None,
     embedded_newlines: bool = True,
     max_columns: int = 1024,
+    split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """A file or folder of quoted text; every file must carry the same header.
 
-    Ragged rows and values that do not fit their type fail the job. Quoted line breaks
-    keep a file in one task (it is streamed, not loaded); with ``embedded_newlines=False``
-    large files split into blocks.
+    Ragged rows and values that do not fit their type fail the job. Where quoted values may
+    hold line breaks, a file of up to ``split_above`` bytes is streamed by one task and
+    larger ones are read in blocks (see ``records``), at the cost of one shuffle of the
+    lines. So are files with CRLF line ends, because the streaming reader would turn a CRLF
+    inside a value into LF (as it does for a CRLF file in a folder of LF files). With ``embedded_newlines=False`` files split without it.
     """
     typed, header = delimited_schema(spark, path, has_header, delimiter, columns, embedded_newlines, max_columns)
     names = header if header is not None else [c.name for c in typed]
+    if embedded_newlines and (largest_file(spark, path) > split_above or has_crlf(spark, path)):
+        return _from_records(spark, path, typed, has_header, delimiter)
     raw_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     raw = (
         spark.read.options(**_options(delimiter, embedded_newlines))
@@ -91,6 +100,22 @@ def read_delimited(
     return raw.select(*[_cell(raw[quoted(n)], c).alias(c.name) for n, c in zip(names, typed)])
 
 
+def _from_records(
+    spark: SparkSession, path: str, typed: Sequence[TypedColumn], has_header: bool, delimiter: str
+) -> DataFrame:
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(typed))])
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "FAILFAST", "columnPruning": "false"}
+    records = quoted_records(spark, path).where("head OR record <> ''")
+    cells = records.select("head", F.from_csv("record", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("cells"))
+    if has_header:
+        found = F.array(*[F.lower(F.trim(F.coalesce(f"cells._{i}", F.lit("")))) for i in range(len(typed))])
+        wanted = F.array(*[F.lit(c.name.lower()) for c in typed])
+        wrong = F.raise_error(F.lit("file.header.mismatch: a file's header does not match the columns")).cast("boolean")
+        # A header record is left out, or fails the job when it is not the expected one.
+        cells = cells.where(F.when(~F.col("head"), True).when(found == wanted, False).otherwise(wrong))
+    return cells.select(*[_cell(F.col(f"cells._{i}"), c).alias(c.name) for i, c in enumerate(typed)])
+
+
 def _cell(text, column: TypedColumn):
     if column.type == "string":
         # The reader gives null for empty text; text columns keep it as "".

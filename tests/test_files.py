@@ -75,6 +75,40 @@ def test_header_rules(spark, tmp_path):
         read_delimited(spark, two, columns=PEOPLE).collect()
 
 
+@pytest.mark.parametrize("block", [64, 300, 1 << 20])
+def test_large_files_are_read_in_blocks(spark, tmp_path, block):
+    """Blocks that begin inside quoted values, files of any order, blank lines and line ends."""
+    want, folder = [], tmp_path / "in"
+    for name, end in (("a.csv", "\n"), ("b.csv", "\r\n")):
+        body = []
+        if name == "b.csv":
+            lf_only = list(want)
+        for i in range(60):
+            text = [f"plain{i}", f"two\nlines {i}", "", 'a ""quoted"" word', "x" * (i * 7), "many\r\n\nbreaks\n" * 9, "a, b"][i % 7]
+            body.append(f'{i},"{text}"' if i % 2 or "\n" in text or "," in text or '"' in text else f"{i},{text}")
+            want.append((i, text.replace('""', '"')))
+            if i % 10 == 0:
+                body.append("")
+        put(folder, name, "\ufeffId,Name" + end + end.join(body) + (end if name == "a.csv" else ""))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        got = read_delimited(spark, str(folder), columns=PEOPLE, split_above=0)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert sorted(r[0] for r in got.select("Id").collect()) == sorted(w[0] for w in want)
+        for name, rows in (("a.csv", lf_only), ("b.csv", want[60:])):
+            assert sorted(map(tuple, read_delimited(spark, str(folder / name), columns=PEOPLE).collect())) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("body", ["Id,Name\n1\n", "Id,Name\n1,a,b\n", "Id,Name\nx,a\n", 'Id,Name\n1,"a\n', "Id,Other\n1,a\n"])
+def test_blocks_are_as_strict(spark, tmp_path, body):
+    path = put(tmp_path / "in", "a.csv", body)
+    with pytest.raises((*JOB_FAILURES, TabularError)):
+        read_delimited(spark, path, columns=PEOPLE, split_above=0).collect()
+
+
 def test_headerless_tabs(spark, tmp_path):
     path = put(tmp_path / "in", "a.tsv", "1\ta,b\n2\t\n")
     got = read_tab_delimited(spark, path, has_header=False, columns=PEOPLE).collect()

@@ -178,9 +178,10 @@ def test_derive_coercion(spark):
             {"name": "raw", "expression": "b", "type": "binary"},
             {"name": "t", "expression": "'2024-01-02T03:04:05+02:00'", "type": "timestamp"},
             {"name": "n", "expression": "null", "type": "guid"},
+            {"name": "five", "expression": "d - 2.9D"}, {"name": "yes", "expression": "cast(d > 1 AS string)"},
         ],
     )
-    assert rows(out)[0][3:] == (-7, Decimal("150.00"), bytearray(b"\x00\x01\x02"), datetime(2024, 1, 2, 1, 4, 5), None)
+    assert rows(out)[0][3:] == (-7, Decimal("150.00"), bytearray(b"\x00\x01\x02"), datetime(2024, 1, 2, 1, 4, 5), None, "5", "true")
     with pytest.raises(PySparkException):
         derive_columns(df, [{"name": "i", "expression": "d * 1e300", "type": "int64"}]).collect()
     with pytest.raises(TabularError, match="derive.type"):
