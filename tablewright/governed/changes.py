@@ -349,7 +349,8 @@ def _expected(target: DataFrame, contract: TableContract) -> Column:
 def apply_changes(target: DataFrame, changes: DataFrame, contract: TableContract) -> ApplyOutcome:
     """The table after all changes, or unchanged when any of them conflicts.
 
-    Changes are one set: two changes to one key conflict instead of running in order.
+    Changes are one set: two changes to one key conflict instead of running in order. Runs
+    jobs: the changes are written and judged before the new state is returned, unread.
     """
     if contract.concurrency == "read_only":
         raise TabularError("changes.read_only", "the contract does not allow edits")

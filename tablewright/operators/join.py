@@ -64,6 +64,13 @@ def join(
         "right": unique in ("left", "both"),
         "full": unique == "both",
     }[how]
+    if one_pass and how == "full":
+        # A full join splits on neither side, so rows that cannot match stay out of its shuffle.
+        with_key = [_has_key(left, left_keys), _has_key(right, right_keys)]
+        keyed = [left.where(with_key[0]), right.where(with_key[1])]
+        joined = keyed[0].join(keyed[1], _on(keyed[0], left_keys, keyed[1], right_keys), "full")
+        keyless = [_padded(side.where(~test), left, right) for side, test in zip((left, right), with_key)]
+        return reduce(DataFrame.union, [joined, *keyless])
     if one_pass:
         return left.join(right, _on(left, left_keys, right, right_keys), how)
     matched = left.join(right, _on(left, left_keys, right, right_keys), "inner")
@@ -80,6 +87,10 @@ def _on(left: DataFrame, left_keys, right: DataFrame, right_keys) -> Column:
     return reduce(Column.__and__, pairs)
 
 
+def _has_key(rows: DataFrame, keys) -> Column:
+    return reduce(Column.__and__, [column(rows, k).isNotNull() for k in keys])
+
+
 def _unmatched(rows: DataFrame, keys, other: DataFrame, other_keys) -> DataFrame:
     names = [f"_key{i}" for i in range(len(keys))]
     present = other.select(*[column(other, k).alias(n) for k, n in zip(other_keys, names)]).distinct()

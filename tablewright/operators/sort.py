@@ -103,8 +103,8 @@ def slice_rows(ordered: DataFrame, offset: int, count: int) -> DataFrame:
 def number_rows(ordered: DataFrame, name: str = "row_number") -> DataFrame:
     """1-based positions of an ordered DataFrame, without a single-task window.
 
-    The ordered rows are checkpointed once, so their partitions are fixed. Only one count
-    per partition then goes through a window, and comes back as a broadcast of that size.
+    Runs a job: the ordered rows are checkpointed, so their partitions are fixed. One count
+    per partition then goes through a window and comes back as a broadcast of that size.
     """
     shared_folder(ordered.sparkSession)
     placed = ordered.withColumn("__at", F.monotonically_increasing_id()).checkpoint()

@@ -112,7 +112,7 @@ def fold_events(events: DataFrame, width: int | None = None) -> DataFrame:
 
     Input: ``run_id``, ``node_id``, unique ``seq``, ``kind``, ``at``, and optionally cumulative
     totals and ``error_code``. Events that belong to no attempt are left out; see
-    ``event_problems``.
+    ``event_problems``. Runs a job: the attempts are written before they are numbered.
     """
     width = width or block_width(events, "seq")
     located = locate(events, width)

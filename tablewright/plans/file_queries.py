@@ -23,6 +23,7 @@ from tablewright.targets.mutations import (
     bind_columns,
     delete_keys,
     insert_rows,
+    mutate_table,
     publish_table,
     target_columns,
     upsert,
@@ -217,3 +218,24 @@ def publish_table_state(spark, folder):
     publish_table(spark, name, nations, root)
     publish_table(spark, name, spark.table(name).withColumn("n_regionkey", F.col("n_regionkey") + 1), root)
     return spark.table(name)
+
+
+@query(
+    f"""
+    SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM {EDITS}) AND c_nationkey <> 5
+    UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal FROM {EDITS}
+    WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5)
+    UNION ALL SELECT s_suppkey + 1000000, 'SUPPLIER', NULL FROM supplier
+    """
+)
+def mutate_published_table(spark, folder):
+    """One published table after an upsert, a delete and an insert."""
+    buyers, root = table(spark, folder, "customer"), scratch_path(spark, "customer-table")
+    name = "published_" + root.rsplit("-", 1)[-1]
+    publish_table(spark, name, buyers.select("c_custkey", "c_mktsegment", "c_acctbal"), root)
+    mutate_table(_edits(spark, folder), name, root, "upsert", ["c_custkey"])
+    mutate_table(buyers.where("c_nationkey = 5"), name, root, "delete", ["c_custkey"], {"c_custkey": {"column": "c_custkey"}})
+    suppliers = table(spark, folder, "supplier")
+    bindings = {"c_custkey": {"expression": "s_suppkey + 1000000"}, "c_mktsegment": {"variable": "segment"}}
+    mutate_table(suppliers, name, root, "insert", [], bindings, {"segment": "SUPPLIER"})
+    return spark.table(name)

@@ -21,6 +21,7 @@ from tablewright.sources.jdbc import read_table
 from tablewright.sources.workbook import read_workbooks
 from tablewright.targets.delimited import render_path, write_delimited
 from tablewright.targets.jdbc import write_table
+from tablewright.targets.mutations import mutate_table
 
 SOURCES: dict[str, Callable[..., DataFrame]] = {
     "parquetSource": lambda spark, path: spark.read.parquet(path),
@@ -38,7 +39,11 @@ TRANSFORMS: dict[str, Callable[..., DataFrame]] = {
     "distinctRows": distinct_rows,
     "sortRows": sort_rows,
 }
-TARGETS: dict[str, Callable] = {"csvTarget": write_delimited, "tableTarget": write_table}
+TARGETS: dict[str, Callable] = {
+    "csvTarget": write_delimited,
+    "tableTarget": write_table,
+    "publishedTarget": mutate_table,
+}
 MAX_NODES, MAX_EDGES = 200, 1000
 
 
@@ -105,6 +110,8 @@ def _build(spark: SparkSession, node: Mapping, frames: Sequence[DataFrame], vari
             raise TabularError("graph.inputs", "a target takes one input")
         if "path" in settings:
             settings["path"] = "/".join(render_path(part, variables) if "{" in part else part for part in settings["path"].split("/"))
+        if kind == "publishedTarget":
+            settings["variables"] = variables
         TARGETS[kind](frames[0], **settings)
         return None
     raise TabularError("graph.kind", f"unknown node kind '{kind}'")

@@ -130,19 +130,22 @@ def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return condition
 
 
-def insert_rows(target: DataFrame, source: DataFrame) -> DataFrame:
-    """Target rows plus mapped source rows; unmapped target columns are null."""
+def aligned(target: DataFrame, source: DataFrame) -> DataFrame:
+    """Source rows with all target columns, null where the source has none."""
     present = {c.lower() for c in source.columns}
-    return target.union(
-        source.select(
-            *[
-                (column(source, f.name).cast(f.dataType) if f.name.lower() in present else F.lit(None).cast(f.dataType)).alias(f.name)
-                for f in target.schema.fields
-            ]
-        )
+    return source.select(
+        *[
+            (column(source, f.name) if f.name.lower() in present else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in target.schema.fields
+        ]
     )
 
 
+def insert_rows(target: DataFrame, source: DataFrame) -> DataFrame:
+    """Target rows plus mapped source rows; unmapped target columns are null."""
+    return target.union(aligned(target, source))
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], check_keys: bool = True) -> DataFrame:
     """The target after updating matching rows and adding the others.
 
@@ -215,3 +218,29 @@ def publish_table(spark: SparkSession, table: str, state: DataFrame, root: str)
     else:
         spark.catalog.createTable(table, path=location, source="parquet")
     return location
+
+
+def mutate_table(
+    source: DataFrame,
+    table: str,
+    root: str,
+    mode: str = "insert",
+    keys: Sequence[str] = (),
+    bindings: Mapping[str, Mapping] | None = None,
+    variables: Mapping[str, object] | None = None,
+) -> None:
+    """Insert into, upsert into or delete from a published table, all or nothing.
+
+    An insert appends files in one committed job; the other modes publish a new state.
+    """
+    spark = source.sparkSession
+    target = spark.table(table)
+    bound = bind_columns(source, target_columns(target, keys), bindings, variables, mode, keys)
+    if mode == "insert":
+        aligned(target, bound).write.insertInto(table)
+    elif mode == "upsert":
+        publish_table(spark, table, upsert(target, bound, keys), root)
+    elif mode == "delete":
+        publish_table(spark, table, delete_keys(target, bound, keys), root)
+    else:
+        raise TabularError("target.mode", f"unknown mode '{mode}'")

@@ -20,6 +20,7 @@ from tablewright.targets.delimited import render_path, write_delimited
 from tablewright.targets.jdbc import mutation_statements
 from tablewright.targets.mutations import (
     TargetColumn,
+    mutate_table,
     bind_columns,
     check_mutation_keys,
     delete_keys,
@@ -298,3 +299,24 @@ def test_publish_is_a_pointer_switch(spark, tmp_path):
     publish_table(spark, "pub_case", spark.table("pub_case").where("id > 0"), str(tmp_path / "root"))
     assert spark.table("pub_case").count() == 2 and held.count() == 3
     spark.sql("DROP TABLE pub_case")
+
+
+def test_mutate_published_table(spark, tmp_path):
+    root = str(tmp_path / "root")
+    publish_table(spark, "mut_case", spark.createDataFrame([(1, "a", 9), (2, "b", 9)], "id long, name string, extra int"), root)
+
+    def content():
+        return sorted(map(tuple, spark.table("mut_case").collect()), key=repr)
+
+    edits = spark.createDataFrame([(2, "B"), (3, "C")], "ID long, NAME string")
+    mutate_table(edits, "mut_case", root, "upsert", ["id"])
+    assert content() == [(1, "a", 9), (2, "B", 9), (3, "C", None)]
+    mutate_table(edits.where("ID = 2"), "mut_case", root, "delete", ["id"])
+    mutate_table(edits.where("ID = 2"), "mut_case", root, bindings={"id": {"expression": "ID * vars.n"}}, variables={"n": 10})
+    assert content() == [(1, "a", 9), (20, None, None), (3, "C", None)]
+    with pytest.raises(TabularError, match="target.key.repeated"):
+        mutate_table(edits.union(edits), "mut_case", root, "upsert", ["id"])
+    with pytest.raises(JOB_FAILURES):
+        mutate_table(edits.withColumn("NAME", F.raise_error(F.lit("no")).cast("string")), "mut_case", root)
+    assert content() == [(1, "a", 9), (20, None, None), (3, "C", None)]
+    spark.sql("DROP TABLE mut_case")
