@@ -5,14 +5,13 @@ import pytest
 from tablewright import session
 
 
-def test_shared_folder_is_the_one_the_session_names(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert session.shared_folder(spark) == str(tmp_path)
-        df = session.written(spark.range(5), "kept")
-        assert df.count() == 5 and any(name.startswith("kept-") for name in os.listdir(tmp_path))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_shared_folder_is_the_one_the_session_names(spark, tmp_path, monkeypatch):
+    conf, named = type(spark.conf), {"spark.checkpoint.dir": str(tmp_path)}
+    real = conf.get
+    monkeypatch.setattr(conf, "get", lambda self, key, *default: named.get(key) or real(self, key, *default))
+    assert session.shared_folder(spark) == str(tmp_path)
+    df = session.written(spark.range(5), "kept")
+    assert df.count() == 5 and any(name.startswith("kept-") for name in os.listdir(tmp_path))
     assert session.scratch_path(spark, "a") != session.scratch_path(spark, "a")
 
 
