@@ -142,21 +142,38 @@ def used_range(content: bytes, worksheet: str, cell_range: str | None) -> tuple[
     return first_row, first_column, last_row, last_column
 
 
-def grid(content: bytes, worksheet: str, cell_range: str | None) -> Iterator[list[str]]:
-    """Every row of the range as cell texts, blank rows included."""
-    top, left, bottom, right = used_range(content, worksheet, cell_range)
-    blank, expected = [""] * (right - left + 1), top
-    for row, cells in sheet_rows(content, worksheet):
+def grid(content: bytes, worksheet: str, cell_range: str | None, has_header: bool) -> Iterator[list[str]]:
+    """Every row of the range as cell texts, blank rows included.
+
+    Under a header the used range can only be as wide as the header, since it may have no
+    empty names, so one pass over the sheet does; otherwise its bounds are looked up first.
+    """
+    rows = sheet_rows(content, worksheet)
+    if cell_range is None and has_header:
+        top, names = next(rows, (0, {}))
+        if not names:
+            raise TabularError("workbook.empty", f"worksheet '{worksheet}' is empty")
+        left, right, bottom = min(names), max(names), None
+        yield [names.get(c, "") for c in range(left, right + 1)]
+        expected = top + 1
+    else:
+        top, left, bottom, right = used_range(content, worksheet, cell_range)
+        expected = top
+    blank = [""] * (right - left + 1)
+    for row, cells in rows:
         if row < top:
             continue
-        if row > bottom:
+        if bottom is None:
+            if min(cells) < left or max(cells) > right:
+                raise TabularError("file.header.mismatch", f"row {row} is wider than the header")
+        elif row > bottom:
             break
         while expected < row:
             yield list(blank)
             expected += 1
         yield [cells.get(c, "") for c in range(left, right + 1)]
         expected = row + 1
-    while expected <= bottom:
+    while bottom is not None and expected <= bottom:
         yield list(blank)
         expected += 1
 
@@ -198,7 +215,7 @@ def workbook_rows(
         for batch in batches:
             for content in batch["content"]:
                 pending: list[list[str]] = []
-                for i, cells in enumerate(grid(bytes(content), worksheet, cell_range)):
+                for i, cells in enumerate(grid(bytes(content), worksheet, cell_range, has_header)):
                     if i == 0 and has_header:
                         if [c.strip().lower() for c in cells] != [n.lower() for n in names]:
                             raise ValueError("file.header.mismatch: the header does not match the columns")
@@ -224,7 +241,7 @@ def _header(files: DataFrame, worksheet: str, cell_range: str | None) -> list[st
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                yield pd.DataFrame({"names": [next(grid(bytes(content), worksheet, cell_range))]})
+                yield pd.DataFrame({"names": [next(grid(bytes(content), worksheet, cell_range, True))]})
 
     found = files.select("content").limit(1).mapInPandas(first, "names array<string>").collect()
     if not found:

@@ -214,6 +214,9 @@ def test_workbook_errors(spark, tmp_path):
     for sheet, columns, code in [("Missing", None, "workbook.worksheet"), ("Other", None, "workbook.empty"), ("Data", BOOK[:3] + [TypedColumn("Bad")], "file.header.mismatch")]:
         with pytest.raises(JOB_FAILURES, match=code):
             read_workbooks(spark, path, sheet, columns=columns).collect()
+    workbook(str(tmp_path / "wide" / "a.xlsx"), ROWS + '<row r="6"><c r="F6"><v>1</v></c></row>', ["Id", "Name", "Seven"])
+    with pytest.raises(JOB_FAILURES, match="file.header.mismatch"):
+        read_workbooks(spark, str(tmp_path / "wide"), "Data", columns=BOOK).collect()
     assert parse_range("$B$2:A10") == (2, 1, 10, 2)
     with pytest.raises(TabularError, match="workbook.range"):
         parse_range("B2")
