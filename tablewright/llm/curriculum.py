@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: list[int], slopes: list[float], sh
     return rows.select("source", "source_size", target.alias("target"), "slope")
 
 
-def running_words(sized: DataFrame, rows: int) -> DataFrame:
+def running_words(sized: DataFrame, rows: int, tie: str = "size") -> DataFrame:
     """``sized`` with ``before``: the words of its source that come before each document.
 
     Documents of a source follow the MD5 digest of their id. Blocks are digest prefixes: each is summed
@@ -60,7 +60,7 @@ def running_words(sized: DataFrame, rows: int) -> DataFrame:
     blocks = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("source", "block", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "block").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "block").orderBy("digest", "doc_id", tie).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
     joined = placed.join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.block") == F.col("o.block")))
     return joined.select("d.*", (F.col("base") + F.col("inner")).alias("before"))

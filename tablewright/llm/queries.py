@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from tablewright.llm import blob_ledger, content_sort, curriculum, url_cascade
+from tablewright.llm import blob_ledger, content_sort, curriculum, jaccard, packing, quality, tag_paths, toxicity, url_cascade
 
 QUERIES = {
     "op2_curriculum": curriculum.op2_curriculum,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_quality": quality.op4_quality,
     "op5_content_sort": content_sort.op5_content_sort,
+    "op6_tag_paths": tag_paths.op6_tag_paths,
     "op7_url_cascade": url_cascade.op7_url_cascade,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op9_blob_ledger": blob_ledger.op9_blob_ledger,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op2_curriculum": curriculum.OP2_SQL,
     "op5_content_sort": content_sort.OP5_SQL,
     "op7_url_cascade": url_cascade.OP7_SQL,
+    "op8_jaccard": jaccard.OP8_SQL,
     "op9_blob_ledger": blob_ledger.OP9_SQL,
 }
