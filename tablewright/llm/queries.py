@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tablewright.llm import blob_ledger, content_sort, curriculum, jaccard, packing, quality, tag_paths, toxicity, url_cascade
+from tablewright.llm import blob_ledger, content_sort, curriculum, jaccard, lattice, packing, quality, tag_paths, toxicity, url_cascade
 
 QUERIES = {
+    "op1_lattice": lattice.op1_lattice,
     "op2_curriculum": curriculum.op2_curriculum,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality": quality.op4_quality,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
+    "op1_lattice": lattice.OP1_SQL,
     "op2_curriculum": curriculum.OP2_SQL,
     "op5_content_sort": content_sort.OP5_SQL,
     "op7_url_cascade": url_cascade.OP7_SQL,
