@@ -260,7 +260,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
                         own.add(f + END)
                 seen[y].update(own)
             for y in (0, 1):
-                yield pd.DataFrame({"term": list(seen[y]), "label": y, "n": list(seen[y].values())})
+                if seen[y]:
+                    yield pd.DataFrame({"term": pd.Series(list(seen[y]), dtype=object), "label": y, "n": list(seen[y].values())})
 
     counted = taught.mapInPandas(count, "term string, label int, n long").groupBy("term").agg(F.sum(F.col("n") * F.col("label")).alias("a"), F.sum(F.col("n") * (1 - F.col("label"))).alias("b"))
     # The empty term stands in every document; terms of one document alone say nothing.
@@ -287,7 +288,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
                             known[f] = [k for k, e in automaton.match(f).items() if e]
                         own.update((f, k) for k in known[f])
                 out += [(f, k, y) for f, k in own]
-            yield pd.DataFrame(out, columns=["form", "term", "label"])
+            if out:
+                form, term, label = zip(*out, strict=True)
+                yield pd.DataFrame({"form": pd.Series(form, dtype=object), "term": term, "label": label})
 
     fuzzy = taught.mapInPandas(near, "form string, term int, label int").groupBy("form", "term").agg(F.sum("label").alias("a"), F.count_if(F.col("label") == 0).alias("b"))
     ordinary, sums = set(), {}
