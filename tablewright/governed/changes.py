@@ -295,8 +295,11 @@ def find_conflicts(target: DataFrame, changes: DataFrame, contract: TableContrac
     keys = contract.keys
     key_names = [f"__k{i}" for i in range(len(keys))]
     judged_columns = ["op", "before", "before_names"]
+    # The target makes the keys of inserts that bring none: they cannot meet another change or a row.
+    brings_key = (F.col("op") != "insert") | _all([F.col(n).isNotNull() for n in key_names])
     per_key = (
         _keyed(changes, contract)
+        .where(brings_key)
         .groupBy(*key_names)
         .agg(F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*judged_columns)).alias("__change"))
     )

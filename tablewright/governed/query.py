@@ -22,6 +22,7 @@ MAX_FILTERS = 16
 MAX_SORTS = 8
 MAX_PAGE = 2000
 MAX_CURSOR = 8192
+SEAL = 16
 
 # Filter operator tokens.
 COMPARISONS = {
@@ -106,20 +107,17 @@ def order_columns(df: DataFrame, terms: Sequence[tuple[ContractColumn, bool]]) -
 
 
 def after_predicate(df: DataFrame, terms: Sequence[tuple[ContractColumn, bool]], after: Sequence) -> Column:
-    """Rows strictly after a sort tuple: an OR over the first differing term."""
-    branches, equal = [], F.lit(True)
-    for (c, descending), value in zip(terms, after, strict=True):
+    """Rows strictly after a sort tuple, folded from the last term: beyond this one, or equal and after the rest."""
+    rest = F.lit(False)
+    for (c, descending), value in reversed(list(zip(terms, after, strict=True))):
         cell = column(df, c.alias)
         if value is None:
-            if not descending:
-                branches.append(equal & cell.isNotNull())
-            equal = equal & cell.isNull()
+            beyond, equal = F.lit(False) if descending else cell.isNotNull(), cell.isNull()
         else:
             mark = constant(value, c)
-            beyond = (cell < mark) | cell.isNull() if descending else cell > mark
-            branches.append(equal & beyond)
-            equal = equal & (cell == mark)
-    return reduce(Column.__or__, branches) if branches else F.lit(False)
+            beyond, equal = (cell < mark) | cell.isNull() if descending else cell > mark, cell == mark
+        rest = beyond | (equal & rest)
+    return rest
 
 
 def keyset_page(
@@ -157,11 +155,6 @@ def read_page(
     return Page(rows, encode_cursor(fingerprint, filters, terms, rows[-1]) if more else None)
 
 
-def _filter_hash(filters: Sequence[Filter]) -> str:
-    lines = sorted("\x1f".join([f[0].upper(), f[1], "<NULL>" if len(f) < 3 or f[2] is None else str(f[2])]) for f in filters)
-    return hashlib.sha256("\x1e".join(lines).encode()).hexdigest()
-
-
 def _cursor_text(value) -> str | None:
     if value is None:
         return None
@@ -174,42 +167,37 @@ def _cursor_text(value) -> str | None:
     return repr(value) if isinstance(value, float) else str(value)
 
 
+def _seal(body: bytes, fingerprint: str, filters: Sequence[Filter], terms) -> bytes:
+    """A digest of the sort tuple and everything it is valid for; the order of the filters does not matter."""
+    tests = sorted(repr((alias.casefold(), test, *value)) for alias, test, *value in filters)
+    order = [(c.alias, c.type, bool(descending)) for c, descending in terms]
+    return hashlib.sha256(repr((fingerprint, tests, order)).encode() + b"\n" + body).digest()[:SEAL]
+
+
 def encode_cursor(fingerprint: str, filters: Sequence[Filter], terms, row: Row) -> str:
-    """An opaque token bound to the schema, the filters and the sort order."""
-    payload = {
-        "v": 1,
-        "s": fingerprint,
-        "f": _filter_hash(filters),
-        "o": [{"a": c.alias, "d": d, "x": _cursor_text(row[c.alias])} for c, d in terms],
-    }
-    token = base64.urlsafe_b64encode(json.dumps(payload, separators=(",", ":")).encode()).decode().rstrip("=")
+    """An opaque token: the row's sort tuple, sealed with the schema, the filters and the sort order."""
+    body = json.dumps([_cursor_text(row[c.alias]) for c, _ in terms], ensure_ascii=False).encode()
+    token = base64.urlsafe_b64encode(_seal(body, fingerprint, filters, terms) + body).decode()
     if len(token) > MAX_CURSOR:
         raise TabularError("query.cursor", "the cursor is too long")
     return token
 
 
 def decode_cursor(token: str, fingerprint: str, filters: Sequence[Filter], terms) -> list:
-    """The sort tuple of a token; any mismatch is rejected."""
+    """The sort tuple of a token that was sealed for just this query; any other is rejected."""
     try:
-        if not token or len(token) > MAX_CURSOR:
-            raise ValueError("length")
-        payload = json.loads(base64.b64decode(token + "=" * (-len(token) % 4), altchars=b"-_", validate=True))
-        if set(payload) != {"v", "s", "f", "o"} or payload["v"] != 1:
-            raise ValueError("shape")
-        if payload["s"] != fingerprint or payload["f"] != _filter_hash(filters):
-            raise ValueError("binding")
-        marks = payload["o"]
-        if len(marks) != len(terms):
-            raise ValueError("terms")
-        values = []
-        for mark, (c, descending) in zip(marks, terms):
-            if set(mark) != {"a", "d", "x"} or mark["a"] != c.alias or mark["d"] is not descending:
-                raise ValueError("term")
-            if mark["x"] is None and not c.nullable:
-                raise ValueError("null")
-            if mark["x"] is not None:
-                constant(mark["x"], c)
-            values.append(mark["x"])
-        return values
-    except (ValueError, TypeError, KeyError) as error:
-        raise TabularError("query.cursor", "the cursor does not belong to this query") from error
+        raw = base64.b64decode(token[: MAX_CURSOR + 1], altchars=b"-_", validate=True)
+    except ValueError:
+        raw = b""
+    seal, body = raw[:SEAL], raw[SEAL:]
+    if len(token) > MAX_CURSOR or not body or seal != _seal(body, fingerprint, filters, terms):
+        raise TabularError("query.cursor", "the cursor does not belong to this query")
+    values = json.loads(body)
+    for value, (c, _) in zip(values, terms, strict=True):
+        try:
+            fits = c.nullable if value is None else constant(value, c) is not None
+        except ValueError:
+            fits = False
+        if not fits:
+            raise TabularError("query.cursor", f"the cursor holds no value of '{c.alias}'")
+    return values

@@ -12,7 +12,7 @@ from tablewright.oplog.steps import event_problems, fold_events, status_rollup
 from tablewright.plans.node_graph import run_nodes
 from tablewright.plans.tables import table
 from tablewright.plans.transform_queries import ORACLES, query
-from tablewright.streaming.alerts import match_rules_stream
+from tablewright.streaming.alerts import deliver_available, match_rules_stream
 from tablewright.streaming.run import read_stream, run_available
 from tablewright.streaming.steps import fold_stream, latest_steps
 
@@ -154,12 +154,12 @@ def fold_event_problems(spark, folder):
     f"""
     SELECT run_id, CASE WHEN bool_or(status = 'Cancelled') THEN 'Cancelled' WHEN bool_or(status = 'Failed') THEN 'Failed'
            ELSE 'Succeeded' END AS run_status
-    FROM ({STEPS}) WHERE node_id = 'extract' GROUP BY run_id
+    FROM ({STEPS}) GROUP BY run_id
     """
 )
 def run_status_rollup(spark, folder):
     steps = fold_events(node_events(table(spark, folder, "events")))
-    return status_rollup(steps.where("node_id = 'extract'"))
+    return status_rollup(steps)
 
 
 @query(STEPS)
@@ -214,7 +214,7 @@ def match_rules_streamed(spark, folder):
     runs = finished_runs(read_stream(spark, folder, schema, "events.parquet"))
     twice = runs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     matched = match_rules_stream(twice, customer_rules(spark, folder), collapse_copies=True)
-    return run_available(matched, "deliveries").drop("completed_at")
+    return deliver_available(matched, "deliveries").drop("completed_at")
 
 
 @query(

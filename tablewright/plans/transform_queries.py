@@ -147,28 +147,28 @@ def filter_nan_is_smallest(spark, folder):
 # --- joins --------------------------------------------------------------------------------
 
 CUSTOMERS = "(SELECT c_custkey, nullif(c_nationkey, 0) AS nationkey FROM customer)"
-BIG_ORDERS = "(SELECT o_orderkey, o_custkey AS c_custkey, o_orderstatus FROM orders WHERE o_totalprice > 400000)"
+ORDERS = "(SELECT o_orderkey, o_custkey AS c_custkey, o_orderstatus FROM orders)"
 
 
 def customers(spark, folder) -> DataFrame:
     return table(spark, folder, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(0)).alias("nationkey"))
 
 
-def big_orders(spark, folder) -> DataFrame:
-    orders = table(spark, folder, "orders").where("o_totalprice > 400000")
+def all_orders(spark, folder) -> DataFrame:
+    orders = table(spark, folder, "orders")
     return orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
 
 
 def _join_sql(kind: str) -> str:
     return f"""
     SELECT c.c_custkey, c.nationkey, o.o_orderkey, o.c_custkey AS "right.c_custkey", o.o_orderstatus
-    FROM {CUSTOMERS} c {kind} JOIN {BIG_ORDERS} o ON c.c_custkey = o.c_custkey
+    FROM {CUSTOMERS} c {kind} JOIN {ORDERS} o ON c.c_custkey = o.c_custkey
     """
 
 
 def _join_query(kind: str):
     def run(spark, folder):
-        return join(customers(spark, folder), big_orders(spark, folder), ["c_custkey"], ["C_CUSTKEY"], kind)
+        return join(customers(spark, folder), all_orders(spark, folder), ["c_custkey"], ["C_CUSTKEY"], kind)
 
     run.__name__ = f"join_{kind}"
     return run
@@ -180,10 +180,10 @@ for _kind in ("inner", "left", "right", "full"):
 
 @query(_join_sql("LEFT").replace("c.c_custkey, c.nationkey, o.o_orderkey, o.c_custkey AS \"right.c_custkey\", o.o_orderstatus",
        "o.o_orderkey, o.c_custkey, o.o_orderstatus, c.c_custkey AS \"right.c_custkey\", c.nationkey")
-       .replace(f"{CUSTOMERS} c LEFT JOIN {BIG_ORDERS} o", f"{BIG_ORDERS} o LEFT JOIN {CUSTOMERS} c"))
+       .replace(f"{CUSTOMERS} c LEFT JOIN {ORDERS} o", f"{ORDERS} o LEFT JOIN {CUSTOMERS} c"))
 def join_left_unique_right(spark, folder):
     """The right side is known to be unique, so a single outer join does."""
-    return join(big_orders(spark, folder), customers(spark, folder), ["c_custkey"], ["c_custkey"], "left", unique="right")
+    return join(all_orders(spark, folder), customers(spark, folder), ["c_custkey"], ["c_custkey"], "left", unique="right")
 
 
 @query(

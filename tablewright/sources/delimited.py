@@ -11,10 +11,7 @@ from pyspark.sql import types as T
 from tablewright.errors import TabularError
 from tablewright.functions.values import TypedColumn, parse_text, typed_columns
 from tablewright.schema import check_names, quoted
-from tablewright.sources.records import has_crlf, largest_file, quoted_records
-
-# A file above this size is read block by block even when it may hold quoted line breaks.
-SPLIT_ABOVE = 512 * 1024 * 1024
+from tablewright.sources.records import quoted_records
 
 
 def _options(delimiter: str, embedded_newlines: bool) -> dict[str, str]:
@@ -74,19 +71,16 @@ def read_delimited(
     columns: Sequence[TypedColumn | dict] | None = None,
     embedded_newlines: bool = True,
     max_columns: int = 1024,
-    split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """A file or folder of quoted text; every file must carry the same header.
 
-    Ragged rows and values that do not fit their type fail the job. Where quoted values may
-    hold line breaks, a file of up to ``split_above`` bytes is streamed by one task and
-    larger ones are read in blocks (see ``records``), at the cost of one shuffle of the
-    lines. So are files with CRLF line ends, because the streaming reader would turn a CRLF
-    inside a value into LF (as it does for a CRLF file in a folder of LF files). With ``embedded_newlines=False`` files split without it.
+    Ragged rows and values that do not fit their type fail the job. Files of every size and with
+    either line end are read in blocks (see ``records``), at the cost of one shuffle of the lines;
+    line breaks inside quotes stay as they are. With ``embedded_newlines=False`` files split without it.
     """
     typed, header = delimited_schema(spark, path, has_header, delimiter, columns, embedded_newlines, max_columns)
     names = header if header is not None else [c.name for c in typed]
-    if embedded_newlines and (largest_file(spark, path) > split_above or has_crlf(spark, path)):
+    if embedded_newlines:
         return _from_records(spark, path, typed, has_header, delimiter)
     raw_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     raw = (

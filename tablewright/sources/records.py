@@ -14,17 +14,6 @@ from tablewright.errors import TabularError
 from tablewright.session import written
 
 
-def largest_file(spark: SparkSession, path: str) -> int:
-    """Size in bytes of the largest file below the path; no content is read."""
-    return spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
-
-
-def has_crlf(spark: SparkSession, path: str) -> bool:
-    """Whether the first line found ends with a carriage return; one line is read."""
-    line = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
-    return bool(line) and line[0][0].endswith("\r")
-
-
 def quoted_records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     """One row per record: ``record`` (line breaks inside quotes kept) and ``head``, set on the
     first record of each file. Blank lines are skipped; an unclosed quote fails."""

@@ -69,9 +69,9 @@ def _check_appendable(df: DataFrame, path: str, header: bool, delimiter: str) ->
         if found != [c.lower() for c in df.columns]:
             raise TabularError("file.header.mismatch", "the existing header does not match the input")
     # Every existing record must have the same arity; FAILFAST stops at the first that has not.
-    read_delimited(
-        spark, path, header, delimiter, columns=None if header else [TypedColumn(c) for c in df.columns]
-    ).agg(F.count(F.lit(1))).collect()
+    found = read_delimited(spark, path, header, delimiter, columns=None if header else [TypedColumn(c) for c in df.columns])
+    # A count alone would not parse the records.
+    found.agg(*[F.max(F.length(found[quoted(c)])) for c in found.columns]).collect()
 
 
 def _filesystem(spark: SparkSession, path: str):

@@ -51,48 +51,34 @@ def bind_columns(
     A binding is ``{"column": …}``, ``{"variable": …}`` or ``{"expression": …}``. Without
     bindings, columns map by name ignoring case. Mode is ``insert``, ``upsert`` or ``delete``.
     """
-    by_name = {c.name.lower(): c for c in target}
-    may_write = {n: not c.generated or (mode == "delete" and c.key) for n, c in by_name.items()}
-    scope = with_variables(source, variables)
-    frozen = {n.lower(): v for n, v in (variables or {}).items()}
-    mapped: dict[str, Column] = {}
-    if not bindings:
-        for name in source.columns:
-            if may_write.get(name.lower()):
-                mapped[name.lower()] = F.col(f"row.{quoted(name)}")
+    columns = {c.name.lower(): c for c in target}
+    writable = {n for n, c in columns.items() if not c.generated or (mode == "delete" and c.key)}
+    if bindings:
+        asked = [(name.lower(), binding) for name, binding in bindings.items()]
     else:
-        if len(bindings) > 512:
-            raise TabularError("target.bindings", "at most 512 bindings")
-        for name, binding in bindings.items():
-            if name.lower() not in by_name:
-                raise TabularError("target.column", f"target column '{name}' does not exist")
-            if not may_write[name.lower()]:
-                raise TabularError("target.generated", f"target column '{name}' is generated")
-            if name.lower() in mapped:
-                raise TabularError("target.duplicate", f"target column '{name}' is bound twice")
-            mapped[name.lower()] = _bound(source, binding, frozen)
-    if not mapped:
-        raise TabularError("target.mappings", "no writable target column matches the input")
-    if mode in ("upsert", "delete"):
-        primary = {c.name.lower() for c in target if c.key}
-        wanted = {k.lower() for k in keys}
-        if not primary or primary != wanted:
-            raise TabularError("target.keys", "the keys must be exactly the primary key")
-        if wanted - mapped.keys():
-            raise TabularError("target.keys.missing", "every key column must be mapped")
-        if mode == "upsert" and mapped.keys() <= wanted:
-            raise TabularError("target.values", "upsert needs at least one mapped non-key column")
-    if mode != "delete":
-        missing = [
-            c.name
-            for c in target
-            if not c.generated and not c.nullable and not c.has_default and c.name.lower() not in mapped
-        ]
-        if missing:
-            raise TabularError("target.required", f"required target column '{missing[0]}' is not mapped")
-    return scope.select(
-        *[mapped[c.name.lower()].cast(c.type).alias(c.name) for c in target if c.name.lower() in mapped]
-    )
+        asked = [(name.lower(), {"column": name}) for name in source.columns if name.lower() in writable]
+    names = {n for n, _ in asked}
+    primary, wanted = {n for n, c in columns.items() if c.key}, {k.lower() for k in keys}
+    needed = {n for n, c in columns.items() if not (c.generated or c.nullable or c.has_default)}
+    keyed = mode in ("upsert", "delete")
+    # What must hold, as (holds, code, what is wrong); the first that doesn't is reported.
+    rules = [
+        (not bindings or len(bindings) <= 512, "target.bindings", "at most 512 bindings"),
+        (names <= columns.keys(), "target.column", f"no such target column: {sorted(names - columns.keys())}"),
+        (names & columns.keys() <= writable, "target.generated", f"generated target column bound: {sorted(names - writable)}"),
+        (len(names) == len(asked), "target.duplicate", "a target column is bound twice"),
+        (bool(names), "target.mappings", "no writable target column matches the input"),
+        (not keyed or (primary and primary == wanted), "target.keys", "the keys must be exactly the primary key"),
+        (not keyed or wanted <= names, "target.keys.missing", "every key column must be mapped"),
+        (mode != "upsert" or bool(names - wanted), "target.values", "upsert needs at least one mapped non-key column"),
+        (mode == "delete" or needed <= names, "target.required", f"required target column not mapped: {sorted(needed - names)}"),
+    ]
+    for holds, code, wrong in rules:
+        if not holds:
+            raise TabularError(code, wrong)
+    frozen = {n.lower(): v for n, v in (variables or {}).items()}
+    values = {n: _bound(source, binding, frozen) for n, binding in asked}
+    return with_variables(source, variables).select(*[values[n].cast(c.type).alias(c.name) for n, c in columns.items() if n in values])
 
 
 def _bound(source: DataFrame, binding: Mapping, variables: Mapping[str, object]) -> Column:

@@ -94,7 +94,7 @@ def test_large_files_are_read_in_blocks(spark, tmp_path, block):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
     try:
-        got = read_delimited(spark, str(folder), columns=PEOPLE, split_above=0)
+        got = read_delimited(spark, str(folder), columns=PEOPLE)
         assert sorted(map(tuple, got.collect())) == sorted(want)
         assert sorted(r[0] for r in got.select("Id").collect()) == sorted(w[0] for w in want)
         for name, rows in (("a.csv", lf_only), ("b.csv", want[60:])):
@@ -107,7 +107,7 @@ def test_large_files_are_read_in_blocks(spark, tmp_path, block):
 def test_blocks_are_as_strict(spark, tmp_path, body):
     path = put(tmp_path / "in", "a.csv", body)
     with pytest.raises((*JOB_FAILURES, TabularError)):
-        read_delimited(spark, path, columns=PEOPLE, split_above=0).collect()
+        read_delimited(spark, path, columns=PEOPLE).collect()
 
 
 def test_headerless_tabs(spark, tmp_path):

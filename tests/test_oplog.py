@@ -9,7 +9,7 @@ from tablewright.operators import sort
 from tablewright.oplog.alerts import check_template, match_rules, render_template
 from tablewright.oplog.pages import matching, page, total, with_label
 from tablewright.oplog.steps import TOTALS, block_width, carried, event_problems, fold_events, status_rollup
-from tablewright.streaming.alerts import match_rules_stream
+from tablewright.streaming.alerts import deliver_available, match_rules_stream
 from tablewright.streaming.run import read_stream, run_available
 from tablewright.streaming.steps import fold_stream, latest_steps
 
@@ -140,10 +140,24 @@ def test_alert_rules(spark, tmp_path):
         runs.coalesce(1).write.mode("append").parquet(source)
     for collapse in (False, True):
         stream = match_rules_stream(read_stream(spark, source, runs.schema, files_per_trigger=1), rules, collapse_copies=collapse)
-        streamed = run_available(stream, "alerts", str(tmp_path / f"out{collapse}"), str(tmp_path / f"ck{collapse}"))
+        streamed = deliver_available(stream, "alerts", str(tmp_path / f"out{collapse}"), str(tmp_path / f"ck{collapse}"))
         assert sorted((r["rule_id"], r["run_id"], r["status"]) for r in streamed.collect()) == HITS
 
 
+def test_late_runs_are_delivered(spark, tmp_path):
+    """One file per micro-batch, the newest runs first: a run ten days older still gives its delivery."""
+    rules = spark.createDataFrame(RULES, "rule_id long, workflow_id long, triggers int, enabled boolean")
+    schema, source = "run_id long, workflow_id long, status string, completed_at timestamp", str(tmp_path / "runs")
+    days = [(200 + i, 1, "Failed", START - timedelta(days=10 * i)) for i in range(4)]
+    for row in days:
+        spark.createDataFrame([row, days[0]], schema).coalesce(1).write.mode("append").parquet(source)
+    runs = spark.read.parquet(source)
+    stream = match_rules_stream(read_stream(spark, source, runs.schema, files_per_trigger=1), rules)
+    got = deliver_available(stream, "late", str(tmp_path / "out"), str(tmp_path / "ck"))
+    want = match_rules(runs, rules)
+    assert sorted(r["delivery_key"] for r in got.collect()) == sorted(r["delivery_key"] for r in want.collect()) and want.count() == 8
+
+
 def test_templates(spark):
     df = spark.createDataFrame([("r1", None), ("{{run.id}}", "E")], "id string, code string")
     text = "{{run.id}}|{{ error.code }}|{{workflow.name}}"

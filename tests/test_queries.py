@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tablewright.operators.distinct import distinct_rows
 from tablewright.operators.filter import filter_rows
 from tablewright.operators.sort import top_rows
+from tablewright.plans.registry import ORACLES, QUERIES
 
-QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 # Python runs only where no expression exists: workbooks, keyed state, copies in a stream.
 PYTHON = {"workbook_roundtrip", "fold_events_stream", "match_rules_streamed"}
 
