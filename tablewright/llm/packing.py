@@ -51,17 +51,33 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [WORDS.findall(t) for t in texts]
-        new = list(set().union(*split) - self.known.keys()) if split else []
-        if len(self.known) + len(new) > CACHED_WORDS:
+        if len(self.known) > CACHED_WORDS:
             self.known.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for word, code in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(code.ids, "<u4").tobytes()
+        new = list(set().union(*split) - self.known.keys())
+        parts = {w: parted(w) for w in new}
+        fresh = list({p for both in parts.values() for p in both} - self.known.keys())
+        for i in range(0, len(fresh), 10_000):
+            some = fresh[i : i + 10_000]
+            for part, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[part] = np.array(code.ids, "<u4").tobytes()
+        for word, both in parts.items():
+            self.known[word] = b"".join([self.known[p] for p in both])
         return [b"".join([self.known[w] for w in words]) + self.end for words in split]
 
 
+def parted(word: str) -> tuple[str, ...]:
+    """A word as parts that are encoded alike alone: in lower case, as the tokenizer has it, and without marks at the end.
+
+    Only plain ASCII words are changed. Marks after a letter or digit are a token of their own.
+    """
+    if not word.isascii():
+        return (word,)
+    core = word.rstrip(".,!?;:")
+    if core == word or not core or not core[-1].isalnum():
+        return (word.lower(),)
+    return core.lower(), word[len(core) :]
+
+
 def encode_documents(docs: DataFrame, key: str, text: str, source: str, path: str | None, end: int) -> DataFrame:
     """``doc_id, source, size, ids`` per document, with the end id; the path is resolved where the task runs."""
     rows = docs.select(col(key).alias("doc_id"), col(source).cast("string").alias("source"), whole_text(text).alias("text"))
