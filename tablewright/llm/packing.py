@@ -22,11 +22,16 @@ from tablewright.llm.common import Scratch, col, whole_text
 from tablewright.llm.curriculum import running_words
 
 WORDS = re.compile(r"[^\x20\t-\r]+")
+# Words of these characters are lower-cased and cut by the pattern below as by the tokenizer itself.
+PLAIN = re.compile("[!-~\xa1\xab\xbb\xbf\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+# The pieces and the closing mark of the tokenizer's file, the pieces on the characters above.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
+CLOSING = "</w>"
 END_ID = 2
 SEQUENCE, PACKET = 4096, 1024
 # Rounds whose packets one task adds up: about four million tokens.
 BLOCK_ROUNDS = 1024
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 
 
 def word_bpe_path() -> str:
@@ -38,8 +43,9 @@ def word_bpe_path() -> str:
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit integers.
 
-    The tokenizer drops white space and never joins what it parts, so a text's ids are its words' ids; words
-    are encoded once per task, as far as the cache goes.
+    The tokenizer drops white space and never joins what it parts, so a text's ids are its words' ids. Words are
+    encoded once per task, as far as the cache goes: plain ones as the pieces into which the tokenizer cuts them, many
+    pieces in one call, others each alone.
     """
 
     def __init__(self, path: str, end: int):
@@ -48,34 +54,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith(CLOSING)]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [WORDS.findall(t) for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = list(set().union(*split) - self.known.keys())
-        parts = {w: parted(w) for w in new}
-        fresh = list({p for both in parts.values() for p in both} - self.known.keys())
-        for i in range(0, len(fresh), 10_000):
-            some = fresh[i : i + 10_000]
-            for part, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(code.ids, "<u4").tobytes()
-        for word, both in parts.items():
-            self.known[word] = b"".join([self.known[p] for p in both])
+        # Not a difference of sets, which would go through all known words.
+        new = {w for w in set().union(*split) if w not in self.known}
+        plain = {w: PIECES.findall(w.lower()) for w in new if PLAIN.fullmatch(w) and "<|" not in w}
+        alone = list(new - plain.keys())
+        for i in range(0, len(alone), 10_000):
+            some = alone[i : i + 10_000]
+            for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[word] = np.array(code.ids, "<u4").tobytes()
+        self.encode_pieces([p for p in set().union(*plain.values()) if p not in self.known])
+        for word, pieces in plain.items():
+            self.known[word] = b"".join([self.known[p] for p in pieces])
         return [b"".join([self.known[w] for w in words]) + self.end for words in split]
 
-
-def parted(word: str) -> tuple[str, ...]:
-    """A word as parts that are encoded alike alone: in lower case, as the tokenizer has it, and without marks at the end.
-
-    Only plain ASCII words are changed. Marks after a letter or digit are a token of their own.
-    """
-    if not word.isascii():
-        return (word,)
-    core = word.rstrip(".,!?;:")
-    if core == word or not core or not core[-1].isalnum():
-        return (word.lower(),)
-    return core.lower(), word[len(core) :]
+    def encode_pieces(self, pieces: list[str]) -> None:
+        """Encodes pieces as one text; each ends with a token that closes a piece, and no other of its tokens does."""
+        for i in range(0, len(pieces), 1000):
+            some = pieces[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.closing[ids]) + 1) * 4
+            if len(stops) != len(some):
+                raise ValueError("the tokenizer does not close each piece with a token of its own")
+            codes, start = ids.tobytes(), 0
+            for piece, stop in zip(some, stops.tolist(), strict=True):
+                self.known[piece] = codes[start:stop]
+                start = stop
 
 
 def encode_documents(docs: DataFrame, key: str, text: str, source: str, path: str | None, end: int) -> DataFrame:
