@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,6 @@ from pyspark.sql import Window
 from tablewright.llm.common import Scratch, col, whole_text
 from tablewright.llm.curriculum import running_words
 
-WORDS = re.compile(r"[^\x20\t-\r]+")
 # Words of these characters are lower-cased and cut by the pattern below as by the tokenizer itself.
 PLAIN = re.compile("[!-~\xa1\xab\xbb\xbf\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 # The pieces and the closing mark of the tokenizer's file, the pieces on the characters above.
@@ -31,7 +31,7 @@ END_ID = 2
 SEQUENCE, PACKET = 4096, 1024
 # Rounds whose packets one task adds up: about four million tokens.
 BLOCK_ROUNDS = 1024
-CACHED_WORDS = 500_000
+CACHED_WORDS = 600_000
 
 
 def word_bpe_path() -> str:
@@ -44,7 +44,7 @@ class Encoder:
     """Token ids of whole texts as little-endian 32-bit integers.
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are its words' ids. Words are
-    encoded once per task, as far as the cache goes: plain ones as the pieces into which the tokenizer cuts them, many
+    encoded once per worker, as far as the cache goes: plain ones as the pieces into which the tokenizer cuts them, many
     pieces in one call, others each alone.
     """
 
@@ -53,33 +53,45 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for token, i in vocabulary.items() if token.endswith(CLOSING)]] = True
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [WORDS.findall(t) for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts in UTF-8; bytes are split at blanks, tabs, line breaks, vertical tabs and form feeds."""
+        split = [t.split() for t in texts]
+        known = self.known
+        if len(known) > CACHED_WORDS:
+            known.clear()
         # Not a difference of sets, which would go through all known words.
-        new = {w for w in set().union(*split) if w not in self.known}
-        plain = {w: PIECES.findall(w.lower()) for w in new if PLAIN.fullmatch(w) and "<|" not in w}
-        alone = list(new - plain.keys())
+        new = [w for w in set().union(*split) if w not in known]
+        cut: dict[bytes, list[bytes]] = {}
+        pieces: set[bytes] = set()
+        alone: list[bytes] = []
+        for word in new:
+            if word.isalpha():  # of bytes: ASCII letters only, one piece
+                cut[word] = [word.lower()]
+            elif PLAIN.fullmatch(text := word.decode("utf-8", "replace")) and "<|" not in text:
+                cut[word] = [p.encode() for p in PIECES.findall(text.lower())]
+            else:
+                alone.append(word)
+                continue
+            pieces.update(cut[word])
         for i in range(0, len(alone), 10_000):
             some = alone[i : i + 10_000]
-            for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(code.ids, "<u4").tobytes()
-        self.encode_pieces([p for p in set().union(*plain.values()) if p not in self.known])
-        for word, pieces in plain.items():
-            self.known[word] = b"".join([self.known[p] for p in pieces])
-        return [b"".join([self.known[w] for w in words]) + self.end for words in split]
-
-    def encode_pieces(self, pieces: list[str]) -> None:
+            for word, code in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
+                known[word] = np.array(code.ids, "<u4").tobytes()
+        self.encode_pieces([p for p in pieces if p not in known])
+        for word, parts in cut.items():
+            known[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+        return [b"".join([known[w] for w in words]) + self.end for words in split]
+
+    def encode_pieces(self, pieces: list[bytes]) -> None:
         """Encodes pieces as one text; each ends with a token that closes a piece, and no other of its tokens does."""
         for i in range(0, len(pieces), 1000):
             some = pieces[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.closing[ids]) + 1) * 4
             if len(stops) != len(some):
                 raise ValueError("the tokenizer does not close each piece with a token of its own")
@@ -89,6 +101,12 @@ class Encoder:
                 start = stop
 
 
+@lru_cache(1)
+def worker_encoder(path: str, end: int) -> Encoder:
+    """One encoder, with its bounded cache, for all tasks that a Python worker runs one after another."""
+    return Encoder(path, end)
+
+
 def encode_documents(docs: DataFrame, key: str, text: str, source: str, path: str | None, end: int) -> DataFrame:
     """``doc_id, source, size, ids`` per document, with the end id; the path is resolved where the task runs."""
     rows = docs.select(col(key).alias("doc_id"), col(source).cast("string").alias("source"), whole_text(text).alias("text"))
@@ -97,12 +115,12 @@ def encode_documents(docs: DataFrame, key: str, text: str, source: str, path: st
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path or word_bpe_path(), end)
+        encoder = worker_encoder(path or word_bpe_path(), end)
         for batch in batches:
             # A few texts at a time: the ids of a batch of very long texts need not be held together.
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = encoder.encode(part.column("text").to_pylist())
+                ids = encoder.encode(part.column("text").cast(pa.binary()).to_pylist())
                 sizes = pa.array([len(b) // 4 for b in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), sizes, pa.array(ids, pa.binary())], ["doc_id", "source", "size", "ids"])
 
