@@ -32,8 +32,9 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         small = held.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v")))
         held = scratch.put("edges", small.distinct())
         # Done when no node has two roots and no root is below another node.
-        state = held.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-        if not state and not held.join(held.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
+        ends = held.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(held.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.where("up > 1 OR (up = 1 AND down = 1)").limit(1).count():
             roots = held.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return held.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
