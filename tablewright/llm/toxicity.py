@@ -130,6 +130,7 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.automaton = Automaton(self.terms)
         self.cache: dict[str, tuple[tuple[int, float], ...]] = {}
+        self.clean: set[str] = set()
 
     def __getstate__(self) -> dict:
         return {k: getattr(self, k) for k in ("terms", "weights", "fuzzy", "ordinary", "slope", "prior")}
@@ -151,14 +152,24 @@ class Lexicon:
             self.cache[word] = tuple((t, w) for t, w in best.items() if w > 0)
         return self.cache[word]
 
+    def telling(self, words: list[str]) -> set[str]:
+        """The distinct words with a hit; words known to have none are ruled out as sets, not one by one."""
+        if len(self.clean) > MOST_CACHED:
+            self.clean.clear()
+        new = set(words).difference(self.clean)
+        out = {w for w in new if self.hits(w)}
+        self.clean |= new - out
+        return out
+
     def weight(self, text: str) -> float:
         """Of each distinct word with a hit the best weight in its most abusive context, added up."""
         words = WORDS.findall(text)
         odds: dict[str, float] = {}
-        for i, word in enumerate(words):
-            if found := self.hits(word):
+        telling = self.telling(words)
+        for i, word in enumerate(words) if telling else ():
+            if word in telling:
                 # A word is one piece of evidence, however many terms it comes near.
-                odds[word] = max(odds.get(word, 0.0), max(w for _, w in found) * context(words, i))
+                odds[word] = max(odds.get(word, 0.0), max(w for _, w in self.hits(word)) * context(words, i))
         return sum(odds.values())
 
     def score(self, text: str) -> float:
