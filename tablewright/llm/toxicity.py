@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,7 +37,10 @@ INNER = re.compile(r"[\W_]+")
 
 def forms(word: str) -> list[str]:
     """The word in lower case without signs around it; if signs stand within, also its parts."""
-    whole = EDGE.sub("", word.lower())
+    whole = word.lower().strip(string.punctuation)
+    if whole.isalnum():
+        return [whole]
+    whole = EDGE.sub("", whole)
     if not whole or whole.isalnum():
         return [whole] if whole else []
     return [whole, *(p for p in INNER.split(whole) if p)]
@@ -66,8 +70,8 @@ class Automaton:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.found: list[tuple[tuple[int, int], ...]] = []
-        self.steps: dict[tuple[int, str], int] = {}
-        self.start = self.state({0: 0})
+        self.steps: list[dict[str, int]] = []
+        self.start, self.dead = self.state({0: 0}), self.state({})
 
     def state(self, nodes: dict[int, int]) -> int:
         """The number of a set of (node, edits so far); leaving out a letter of the term is an edit."""
@@ -80,40 +84,42 @@ class Automaton:
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
+            self.steps.append({})
             hits = ((self.ends[n], e) for n, e in key if self.ends[n] >= 0)
             self.found.append(tuple((t, e) for t, e in hits if not e or len(self.terms[t]) >= (FUZZY_WORD + 1 if self.terms[t].endswith(END) else FUZZY_STEM)))
         return self.states[key]
 
     def step(self, state: int, c: str) -> int:
-        at = (state, c)
-        if at not in self.steps:
-            nodes: dict[int, int] = {}
-
-            def put(node: int, edits: int) -> None:
-                if edits <= 1 and nodes.get(node, 2) > edits:
-                    nodes[node] = edits
-
-            for node, edits in self.sets[state]:
-                for d, child in self.children[node].items():
-                    if d == c:
-                        put(child, edits)
-                    elif c != END and d != END:
-                        put(child, edits + 1)
-                if c != END:
-                    put(node, edits + 1)
-            self.steps[at] = self.state(nodes)
-        return self.steps[at]
+        """The state after one more letter, worked out and kept."""
+        nodes: dict[int, int] = {}
+
+        def put(node: int, edits: int) -> None:
+            if edits <= 1 and nodes.get(node, 2) > edits:
+                nodes[node] = edits
+
+        for node, edits in self.sets[state]:
+            for d, child in self.children[node].items():
+                if d == c:
+                    put(child, edits)
+                elif c != END and d != END:
+                    put(child, edits + 1)
+            if c != END:
+                put(node, edits + 1)
+        self.steps[state][c] = after = self.state(nodes)
+        return after
 
     def match(self, word: str) -> dict[int, int]:
         """Terms that the word, or for stems its beginning, is within one edit of: term to edits."""
         if len(self.sets) > MOST_CACHED:
             self.reset()
-        state, out = self.start, {}
+        state, dead, out = self.start, self.dead, {}
+        steps, found = self.steps, self.found
         for c in word + END:
-            state = self.step(state, c)
-            if not self.sets[state]:
+            after = steps[state].get(c)
+            state = self.step(state, c) if after is None else after
+            if state == dead:
                 break
-            for term, edits in self.found[state]:
+            for term, edits in found[state]:
                 out[term] = min(edits, out.get(term, 2))
         return out
 
@@ -141,16 +147,19 @@ class Lexicon:
 
     def hits(self, word: str) -> tuple[tuple[int, float], ...]:
         """Terms and weights of a word as it stands in the text."""
-        if word not in self.cache:
-            if len(self.cache) > MOST_CACHED:
-                self.cache.clear()
+        found = self.cache.get(word)
+        if found is None:
             best: dict[int, float] = {}
             for form in forms(word):
                 for term, edits in self.automaton.match(form).items():
                     if not edits or form not in self.ordinary:
                         best[term] = max(best.get(term, 0.0), self.fuzzy[term] if edits else self.weights[term])
-            self.cache[word] = tuple((t, w) for t, w in best.items() if w > 0)
-        return self.cache[word]
+            found = tuple((t, w) for t, w in best.items() if w > 0) if best else ()
+            if found:
+                if len(self.cache) > MOST_CACHED:
+                    self.cache.clear()
+                self.cache[word] = found
+        return found
 
     def telling(self, words: list[str]) -> set[str]:
         """The distinct words with a hit; words known to have none are ruled out as sets, not one by one."""
