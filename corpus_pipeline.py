@@ -16,6 +16,11 @@ from tablewright.plans.tables import table
 QUALITY_THRESHOLD = 0.3
 
 
+def numbered(spark: SparkSession, docs: DataFrame, row: str) -> DataFrame:
+    """The rows with a number each in the column ``row``; written once, so that every reading has the same numbers."""
+    return Scratch(spark, "rows").put("rows", docs.withColumn(row, F.monotonically_increasing_id()))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; labels of held-out ids are not learned."""
     labels = table(spark, sf_dir, "labels")
@@ -36,14 +41,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number; in order of training position."""
-    mixed, copies, due, copy = fresh(docs, "mixed", "copies", "due", "copy")
-    taken = curriculum.mix(docs, curriculum.WEIGHTS, curriculum.SLOPES)
+    """Each row as often as the mix takes it, to the nearest whole number; in order of training position.
+
+    Rows are told apart by numbers of their own: those with a null id and those that share an id are each taken as
+    the mix says. The numbered rows are written to the shared folder once.
+    """
+    row, mixed, copies, due, copy = fresh(docs, "row", "mixed", "copies", "due", "copy")
+    docs, columns = numbered(spark, docs, row), docs.columns
+    taken = curriculum.mix(docs, curriculum.WEIGHTS, curriculum.SLOPES, row=row)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    taken = taken.select(F.col("doc_id").alias(mixed), times.alias(copies), F.col("position").alias(due)).where(F.col(copies) > 0)
-    taken = taken.groupBy(mixed).agg(F.max(copies).alias(copies), F.min(due).alias(due))
-    rows = docs.join(taken, col("doc_id") == F.col(mixed)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
-    return rows.repartitionByRange(copy, due, "doc_id").sortWithinPartitions(copy, due, "doc_id").select(*map(col, docs.columns))
+    taken = taken.select(F.col("row").alias(mixed), times.alias(copies), F.col("position").alias(due)).where(F.col(copies) > 0)
+    rows = docs.join(taken, F.col(row) == F.col(mixed)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return rows.repartitionByRange(copy, due, "doc_id").sortWithinPartitions(copy, due, "doc_id").select(*map(col, columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

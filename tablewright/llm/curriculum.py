@@ -49,10 +49,10 @@ def source_targets(sizes: DataFrame, weights: list[int], slopes: list[float], sh
     return rows.select("source", "source_size", target.alias("target"), "slope")
 
 
-def running_words(sized: DataFrame, rows: int, tie: str = "size") -> DataFrame:
+def running_words(sized: DataFrame, rows: int, *ties: str) -> DataFrame:
     """``sized`` with ``before``: the words of its source that come before each document.
 
-    Documents of a source follow the MD5 digest of their id. Blocks are digest prefixes: each is summed
+    Documents of a source follow the MD5 digest of their id, rows that share an id the columns ``ties``. Blocks are digest prefixes: each is summed
     first, block offsets are summed per source, then documents within their block, so no task holds a source.
     """
     digits = max(1, math.ceil(math.log(max(1, rows / BLOCK_ROWS), 16)))
@@ -60,14 +60,14 @@ def running_words(sized: DataFrame, rows: int, tie: str = "size") -> DataFrame:
     blocks = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("source", "block", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "block").orderBy("digest", "doc_id", tie).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "block").orderBy("digest", "doc_id", *ties).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
     joined = placed.join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.block") == F.col("o.block")))
     return joined.select("d.*", (F.col("base") + F.col("inner")).alias("before"))
 
 
 def mix(docs: DataFrame, weights: list[int], slopes: list[float] | None = None, share: float = 1.5, cap: float = 2.0,
-        key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+        key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
     """One row per document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``, ``position``.
 
     ``size`` counts words; null and blank texts have none and take none. A source is read in the order of
@@ -75,17 +75,19 @@ def mix(docs: DataFrame, weights: list[int], slopes: list[float] | None = None,
     ``taken`` is what the mix takes of a document, passes added up, so the sum over a source is its target
     rounded down and only the document at the end of a pass is cut. ``position`` is the training time in
     billionths at which the document is first due, null if it is not taken; rows come sorted by it.
-    Rows that repeat an id follow each other by size. An empty table gives an empty result. The sizes are
+    Rows that repeat an id, null ones too, follow each other by size. ``row`` names a column that tells rows apart:
+    it comes along as ``row`` and orders rows of one id and size. An empty table gives an empty result. The sizes are
     written to the shared folder once; only ids, sources and sizes are shuffled, never texts.
     """
     spark = docs.sparkSession
     slopes = slopes or [0.0]
     if not weights or min(weights) <= 0 or max(map(abs, slopes)) > 1:
         raise ValueError("weights must be positive and slopes between -1 and 1")
-    sizes = docs.select(col(key).alias("doc_id"), col(source).alias("source"), word_count(whole_text(text)).alias("size"))
+    own = [] if row is None else ["row"]
+    sizes = docs.select(col(key).alias("doc_id"), col(source).alias("source"), word_count(whole_text(text)).alias("size"), *[col(row).alias(c) for c in own])
     sized = Scratch(spark, "mix").put("sizes", sizes)
     targets = source_targets(sized, weights, slopes, share, cap)
-    rows = running_words(sized, sized.count()).drop("digest", "block", "inner").alias("r")
+    rows = running_words(sized, sized.count(), "size", *own).drop("digest", "block", "inner").alias("r")
     # One row per source, and the documents of a source are spread over tasks: AQE splits or broadcasts.
     rows = rows.join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", "slope")
     due = F.floor(F.col("target"))
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, weights: list[int], slopes: list[float] | None = None,
     when = (2 * part) / ((1 - a) + F.sqrt((1 - a) * (1 - a) + 4 * a * part))
     position = F.when((F.col("taken") > 0) & (part > 0), F.floor(when * POSITION_UNITS)).when(F.col("taken") > 0, F.lit(0)).cast("long")
     out = rows.withColumn("taken", taken).withColumn("position", position)
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", *own).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 WEIGHTS = [3, 1, 2]

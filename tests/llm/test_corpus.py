@@ -366,3 +366,18 @@ def test_pipeline_stages_on_awkward_rows(spark, folder, docs, none):
             out = stage(spark, given, folder)
             assert name == "packing" or out.columns == given.columns
             assert (out.count() > 0) == (given is not none)
+
+
+def test_mix_takes_rows_without_an_id_and_rows_that_share_one(spark, folder):
+    words = lambda n: " ".join(f"w{i}" for i in range(n))
+    rows = [(None, words(n), "en", s, n) for s in "abc" for n in (3, 11, 26)] + [(i % 4, words(30 + i), "en", "abc"[i % 3], 30 + i) for i in range(24)]
+    given = spark.createDataFrame(rows, DOCS).repartition(3)
+    want = {}
+    for r in curriculum.mix(given, curriculum.WEIGHTS, curriculum.SLOPES).collect():
+        want[(r["doc_id"], r["source"], r["size"])] = int(r["taken"] / r["size"] + 0.5)
+    assert len(want) == len(rows) and len({n for (i, _, _), n in want.items() if i == 0}) > 1 and any(n for (i, _, _), n in want.items() if i is None)
+    out = dict(corpus_pipeline.STAGES)["mix_sources"](spark, given, folder).collect()
+    got = {k: 0 for k in want}
+    for r in out:
+        got[(r["doc_id"], r["source"], r["n_chars"])] += 1
+    assert got == want
