@@ -34,10 +34,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    (dropped,) = fresh(docs, "dropped")
-    groups = jaccard.jaccard_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(dropped)).distinct()
-    return docs.join(groups, col("doc_id") == F.col(dropped), "left_anti")
+    """Of each group of near copies one row: that with the smallest id, null last; of rows that share it, one.
+
+    Rows are told apart by numbers of their own, so that a row is dropped for its own text and not for that of a
+    namesake. Texts without words have no near copies. The numbered rows are written to the shared folder once.
+    """
+    row, dropped = fresh(docs, "row", "dropped")
+    docs, columns = numbered(spark, docs, row), docs.columns
+    groups = jaccard.jaccard_groups(docs, row=row).where("root IS NOT NULL").select("row", "doc_id", "root")
+    groups = Scratch(spark, "near").put("groups", groups)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    groups = groups.join(first, "row", "left_anti").select(F.col("row").alias(dropped))
+    return docs.join(groups, F.col(row) == F.col(dropped), "left_anti").select(*map(col, columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -381,3 +381,15 @@ def test_mix_takes_rows_without_an_id_and_rows_that_share_one(spark, folder):
     for r in out:
         got[(r["doc_id"], r["source"], r["n_chars"])] += 1
     assert got == want
+
+
+def test_near_copies_are_dropped_by_row(spark, folder):
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [
+        (3, text("x") + " tail"), (5, text("x")), (5, text("y")), (5, text("z")), (6, text("z") + " tail"), (None, text("u")), (None, text("u") + " tail"), (None, text("u", 39)),
+        (None, text("v") + " tail"), (8, text("v")), (9, text("w")), (9, text("w") + " tail"), (9, text("w").upper()), (None, None), (None, text("alone")), (11, ""),
+    ]
+    given = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    out = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, crowded(given), folder).collect()]
+    kin = lambda t: (t or "").lower()[:1]
+    assert sorted([(i, kin(t)) for i, t in out], key=str) == sorted([(3, "x"), (5, "y"), (5, "z"), (None, "u"), (8, "v"), (9, "w"), (None, ""), (None, "a"), (11, "")], key=str)
