@@ -2,8 +2,9 @@
 
 Text is gathered in blocks, and every block stands on a root-to-leaf tag path. Per path, text length and
 punctuation are added up over its blocks; the two ratios are smoothed over the page's block order, fused, and
-a threshold from their spread chooses content blocks. The element that holds most of the chosen text is
-the article, and its blocks, short ones too, are the main text.
+a threshold from their spread chooses content blocks. The element that holds most of the chosen text, and
+what around it adds only headings, leads and more chosen text, is the article, and its blocks, short ones too,
+are the main text.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ NOT_ARTICLE_WORDS = frozenset(
     "header masthead menu menubar modal nav navbar navigation newsletter notice notices pagination popup promo recommended related replies reply respond search share sharing sidebar "
     "sidenav signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary".split()
 )
+# Inside an article these name parts of it.
+ARTICLE_WORDS = frozenset("header masthead".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Element:
@@ -54,9 +58,10 @@ def marked(name: str, attributes: str, parent: Element) -> bool:
         return True
     if name in ("html", "body", "article", "main") or "=" not in attributes:
         return False
+    words = NOT_ARTICLE_WORDS - ARTICLE_WORDS if parent.in_article else NOT_ARTICLE_WORDS
     for a in ATTRIBUTE.finditer(attributes):
         key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-        if key in ("class", "id", "role") and not NOT_ARTICLE_WORDS.isdisjoint(NAME_PARTS.split(value)):
+        if key in ("class", "id", "role") and not words.isdisjoint(NAME_PARTS.split(value)):
             return True
         if (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             return True
@@ -148,6 +153,43 @@ def smooth(values: list[float]) -> list[float]:
     return out
 
 
+def within(e: Element | None, container: Element) -> bool:
+    while e is not None and e is not container:
+        e = e.parent
+    return e is not None
+
+
+def widened(found: list[tuple[Element, str]], picked: list[bool], article: Element, start: int, stop: int) -> tuple[int, int]:
+    """The article's blocks ``start`` to ``stop`` and those of the elements around it that belong to it.
+
+    An element around it does if all it adds are headings, chosen blocks, and short blocks of its own from a heading
+    down to the article, such as a lead or a byline; the page's body has no such blocks. Nothing outside an
+    article or main element belongs to it. The blocks of an element lie next to each other.
+    """
+    sure, waiting = (start, stop), False
+    while (parent := article.parent) is not None and (parent.in_article or not article.in_article):
+        low, high = start, stop
+        while low and within(found[low - 1][0], parent):
+            low -= 1
+        while high < len(found) and within(found[high][0], parent):
+            high += 1
+        headed = unheaded = False
+        for i in [*range(low, start), *range(stop, high)]:
+            e = found[i][0]
+            heading = e.name in HEADINGS
+            headed = (headed or heading) and i < start
+            if not heading and not picked[i]:
+                if i >= stop or parent.name in ("", "html", "body") or e.parent is not parent or e.name not in ("p", "div", "time", "figcaption"):
+                    return sure
+                unheaded = unheaded or not headed
+        # Short blocks without a heading wait for one in an element further out.
+        waiting = unheaded or (waiting and not headed)
+        article, start, stop = parent, low, high
+        if not waiting:
+            sure = start, stop
+    return sure
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page: its blocks joined by blank lines; empty for an empty page or one without text."""
     found = blocks(page or "")
@@ -159,17 +201,18 @@ def main_text(page: str | None) -> str:
         t[0] += 1
         t[1] += len(text)
         t[2] += len(PUNCTUATION.findall(text))
-    lengths = smooth([totals[e.path][1] / totals[e.path][0] for e, _ in found])
-    points = smooth([1 + totals[e.path][2] / totals[e.path][0] for e, _ in found])
+    length = [totals[e.path][1] / totals[e.path][0] for e, _ in found]
+    point = [1 + totals[e.path][2] / totals[e.path][0] for e, _ in found]
+    lengths, points = smooth(length), smooth(point)
     fused = [a * b for a, b in zip(lengths, points, strict=True)]
     mean = sum(fused) / len(fused)
     threshold = min(math.sqrt(sum((v - mean) ** 2 for v in fused) / len(fused)), mean)
-    chosen = [(e, text) for (e, text), v in zip(found, fused, strict=True) if v >= threshold]
+    chosen = [block for block, v in zip(found, fused, strict=True) if v >= threshold]
     # Text of chosen blocks, added up to the root; a block's own element is no container.
     total = 0
     for e, text in chosen:
         total += len(text)
-        up = e.parent if e.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td", "dd") and e.parent else e
+        up = e.parent if (e.name in HEADINGS or e.name in ("p", "li", "pre", "blockquote", "td", "dd")) and e.parent else e
         while up is not None:
             up.chars += len(text)
             up = up.parent
@@ -185,13 +228,13 @@ def main_text(page: str | None) -> str:
     if article is not None and article.in_article:
         while article.parent is not None and article.parent.in_article and article.name not in ("article", "main"):
             article = article.parent
-
-    def within(e: Element | None) -> bool:
-        while e is not None and e is not article:
-            e = e.parent
-        return e is not None
-
-    return "\n\n".join(text for e, text in found if within(e))
+    if article is None:
+        return ""
+    # Smoothing lends the article's weight to its neighbours; outside it a block needs weight of its own.
+    picked = [v >= threshold and a * b >= threshold for v, a, b in zip(fused, length, point, strict=True)]
+    inside = [i for i, (e, _) in enumerate(found) if within(e, article)]
+    start, stop = widened(found, picked, article, inside[0], inside[-1] + 1)
+    return "\n\n".join(text for _, text in found[start:stop])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -393,3 +393,22 @@ def test_near_copies_are_dropped_by_row(spark, folder):
     out = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, crowded(given), folder).collect()]
     kin = lambda t: (t or "").lower()[:1]
     assert sorted([(i, kin(t)) for i, t in out], key=str) == sorted([(3, "x"), (5, "y"), (5, "z"), (None, "u"), (8, "v"), (9, "w"), (None, ""), (None, "a"), (11, "")], key=str)
+
+
+def test_tag_paths_keep_titles_and_leads_outside_the_densest_element():
+    lines = [f"Paragraph {i} goes on for a while, with commas, and some more words, until it comes to its end." for i in range(10)]
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    outside = '<nav>Menu</nav><div id=top><a href="/">Site name</a></div>', "<div><a href=/a>More</a></div><div class=footer><p>Copyright, all rights kept.</p></div>"
+    headed = "\n\n".join(["Title", "Lead.", *lines])
+    cases = [
+        (f"<body>{outside[0]}<div id=content><h1>Title</h1><p>Lead.</p><div class=body>{body}</div></div>{outside[1]}</body>", headed),
+        (f"<body>{outside[0]}<div id=content><h1>Title</h1><div class=wrap><p>Lead.</p><div class=body>{body}</div></div></div>{outside[1]}</body>", headed),
+        (f'<body>{outside[0]}<article><header class="entry-header"><h1>Title</h1><p>Lead.</p></header><div class=body>{body}</div></article>{outside[1]}</body>', headed),
+        (f"<body>{outside[0]}<main><h1>Title</h1><p>Lead.</p><article>{body}</article></main>{outside[1]}</body>", headed),
+        (f'<body>{outside[0]}<div id=content><div class=body>{body}</div><div class=end><p>{lines[0]}</p></div><div class=share-box><p>Share this.</p></div></div>{outside[1]}</body>', "\n\n".join([*lines, lines[0]])),
+        (f'<body><div class="site-header"><h1>Site</h1></div><div class=body>{body}</div><p>Copyright.</p></body>', "\n\n".join(lines)),
+        (f"<body><div id=page><div id=top><h1>Site</h1><ul><li>Home</ul></div><div class=body>{body}</div><div>Next page</div></div></body>", "\n\n".join(lines)),
+        (f'<body><article><div class="ad-header"><p>Buy.</p></div>{body}</article></body>', "\n\n".join(lines)),
+    ]
+    for page, want in cases:
+        assert tag_paths.main_text(page) == want, page[:150]
