@@ -49,18 +49,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, to the nearest whole number; in order of training position.
+    """Each row as often as the mix takes it, to the nearest whole number; each copy in order of its own pass's training position.
 
     Rows are told apart by numbers of their own: those with a null id and those that share an id are each taken as
     the mix says. The numbered rows are written to the shared folder once.
     """
-    row, mixed, copies, due, copy = fresh(docs, "row", "mixed", "copies", "due", "copy")
+    row, mixed, dues, due = fresh(docs, "row", "mixed", "dues", "due")
     docs, columns = numbered(spark, docs, row), docs.columns
     taken = curriculum.mix(docs, curriculum.WEIGHTS, curriculum.SLOPES, row=row)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    taken = taken.select(F.col("row").alias(mixed), times.alias(copies), F.col("position").alias(due)).where(F.col(copies) > 0)
-    rows = docs.join(taken, F.col(row) == F.col(mixed)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
-    return rows.repartitionByRange(copy, due, "doc_id").sortWithinPartitions(copy, due, "doc_id").select(*map(col, columns))
+    # Passes reach a row in turn, so its copies are its first passes.
+    taken = taken.select(F.col("row").alias(mixed), F.slice("positions", F.lit(1), times).alias(dues)).where(F.size(dues) > 0)
+    rows = docs.join(taken, F.col(row) == F.col(mixed)).withColumn(due, F.explode(dues))
+    return rows.repartitionByRange(due, "doc_id").sortWithinPartitions(due, "doc_id").select(*map(col, columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,7 +76,8 @@ def mix(docs: DataFrame, weights: list[int], slopes: list[float] | None = None,
     rounded down and only the document at the end of a pass is cut. ``position`` is the training time in
     billionths at which the document is first due, null if it is not taken; rows come sorted by it.
     Rows that repeat an id, null ones too, follow each other by size. ``row`` names a column that tells rows apart:
-    it comes along as ``row`` and orders rows of one id and size. An empty table gives an empty result. The sizes are
+    it comes along as ``row`` and orders rows of one id and size, and so do ``positions``, the times at which each pass
+    reaches the row, null from the first pass that doesn't. An empty table gives an empty result. The sizes are
     written to the shared folder once; only ids, sources and sizes are shuffled, never texts.
     """
     spark = docs.sparkSession
@@ -94,10 +95,15 @@ def mix(docs: DataFrame, weights: list[int], slopes: list[float] | None = None,
     passes = [F.greatest(F.lit(0), F.least(F.col("size"), due - F.col("before") - F.col("source_size") * p)) for p in range(math.ceil(cap))]
     taken = sum(passes[1:], passes[0]).cast("long")
     # demand(t) = target * ((1 - a) t + a t^2) = words before; solved for t without cancellation.
-    part, a = F.col("before") / F.col("target"), F.col("slope")
-    when = (2 * part) / ((1 - a) + F.sqrt((1 - a) * (1 - a) + 4 * a * part))
-    position = F.when((F.col("taken") > 0) & (part > 0), F.floor(when * POSITION_UNITS)).when(F.col("taken") > 0, F.lit(0)).cast("long")
-    out = rows.withColumn("taken", taken).withColumn("position", position)
+    def position(before: Column, taken: Column) -> Column:
+        part, a = before / F.col("target"), F.col("slope")
+        when = (2 * part) / ((1 - a) + F.sqrt((1 - a) * (1 - a) + 4 * a * part))
+        return F.when((taken > 0) & (part > 0), F.floor(when * POSITION_UNITS)).when(taken > 0, F.lit(0)).cast("long")
+
+    out = rows.withColumn("taken", taken).withColumn("position", position(F.col("before"), F.col("taken")))
+    if own:
+        out = out.withColumn("positions", F.array(*[position(F.col("before") + F.col("source_size") * p, n) for p, n in enumerate(passes)]))
+        own.append("positions")
     return out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", *own).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 

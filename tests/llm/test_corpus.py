@@ -412,3 +412,20 @@ def test_tag_paths_keep_titles_and_leads_outside_the_densest_element():
     ]
     for page, want in cases:
         assert tag_paths.main_text(page) == want, page[:150]
+
+
+def test_mix_places_each_pass_of_a_row(spark, folder):
+    rows = [(i, f"one two {i}", "en", s, 3) for k, s in enumerate("abcdef") for i in range(100 * k, 100 * k + (5 if k % 3 == 0 else 60))]
+    given = spark.createDataFrame(rows, DOCS)
+    sources = {r["doc_id"]: (r["source"], r["size"], r["source_size"], r["target"]) for r in curriculum.mix(given, curriculum.WEIGHTS, curriculum.SLOPES).collect()}
+    out = [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["mix_sources"](spark, given, folder).collect()]
+    seen, demand = {}, {s: 0 for s in "abcdef"}
+    slope = dict(zip("abcdef", curriculum.SLOPES * 2, strict=True))
+    times = []
+    for i in out:
+        source, size, whole, target = sources[i]
+        part, a = demand[source] / target, slope[source]
+        times.append(2 * part / ((1 - a) + ((1 - a) ** 2 + 4 * a * part) ** 0.5))
+        demand[source] += size
+        seen[i] = seen.get(i, 0) + 1
+    assert max(seen.values()) == 2 and all(x <= y + 1e-8 for x, y in zip(times, times[1:]))
