@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import blob_ledger, content_sort, curriculum, jaccard, lattice, packing, quality, tag_paths, toxicity, url_cascade
+from tablewright.llm import blob_ledger, content_sort, curriculum, jaccard, lattice, packing, prefix_trie, quality, recompression, tag_paths, toxicity, url_cascade, wu_manber
 
 QUERIES = {
     "op1_lattice": lattice.op1_lattice,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_blob_ledger": blob_ledger.op9_blob_ledger,
     "op10_packing": packing.op10_packing,
+    "op11_recompression": recompression.op11_recompression,
+    "op12_wu_manber": wu_manber.op12_wu_manber,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {
     "op1_lattice": lattice.OP1_SQL,
@@ -23,4 +26,7 @@ ORACLES = {
     "op7_url_cascade": url_cascade.OP7_SQL,
     "op8_jaccard": jaccard.OP8_SQL,
     "op9_blob_ledger": blob_ledger.OP9_SQL,
+    "op11_recompression": recompression.OP11_SQL,
+    "op12_wu_manber": wu_manber.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
