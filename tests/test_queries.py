@@ -1,5 +1,10 @@
 """Every registered query against its SQL, and rules all plans must keep."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as registry
@@ -42,6 +47,19 @@ def test_entry(spark):
     assert registry.entry(spark).columns == ["o_orderpriority", "line_count", "sum_quantity", "avg_price", "first_ship", "last_ship"]
 
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_corpus_operators(tmp_path, pipeline):
+    """The rest must import alone, whether or not the pipeline's file is left behind."""
+    home, copy = Path(registry.__file__).parent, tmp_path / "repo"
+    shutil.copytree(home / "tablewright", copy / "tablewright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(home / "__spark_entry__.py", copy)
+    if pipeline and (home / "corpus_pipeline.py").exists():
+        shutil.copy(home / "corpus_pipeline.py", copy)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()), len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin:/bin"})
+    assert out.stdout.split() == ["True", str(len(QUERIES))]
+
+
 def test_filters_and_columns_reach_the_scan(spark, folder):
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     out = filter_rows(lines, [
