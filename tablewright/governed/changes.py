@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,6 +14,9 @@ from tablewright.errors import TabularError
 from tablewright.functions.values import BASE64_TEXT, GUID_TEXT
 from tablewright.governed.cells import parse_public
 from tablewright.governed.contract import ContractColumn, TableContract
+from tablewright.governed.ordered import PARTS as STAGED_PARTS
+from tablewright.governed.ordered import as_parts, compose
+from tablewright.governed.references import missing_references
 from tablewright.schema import column
 from tablewright.session import written
 
@@ -248,6 +251,31 @@ def split_changes(changes: DataFrame, contract: TableContract) -> tuple[DataFram
     return valid, judged.where(F.size("problems") > 0)
 
 
+@dataclass(frozen=True)
+class StagedSet:
+    """A set that is ``Pending`` with its typed changes, or ``Rejected`` with what is wrong and nothing to apply."""
+
+    status: str
+    problems: DataFrame
+    missing: DataFrame | None
+    changes: DataFrame | None
+
+
+def stage_changes(changes: DataFrame, contract: TableContract, references: Mapping[str, DataFrame]) -> StagedSet:
+    """Accept a set of JSON changes whole, or refuse it whole.
+
+    Every change must be valid, and every complete reference tuple in the set must have its row in ``references``,
+    the tables by the names that the contract's foreign keys use. Runs jobs: the set is judged and written once.
+    """
+    valid, problems = split_changes(changes, contract)
+    if problems.take(1):
+        return StagedSet("Rejected", problems, None, None)
+    missing = missing_references(valid, contract, references)
+    if missing.take(1):
+        return StagedSet("Rejected", problems, missing, None)
+    return StagedSet("Pending", problems, missing, valid)
+
+
 def _string_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
@@ -267,8 +295,9 @@ def typed_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
         return _present([F.when(_value(part, c).isNotNull(), c.alias) for c in columns])
 
     op = F.lower("op")
+    ordinal = ["ordinal"] if "ordinal" in changes.columns else []
     return _parsed(changes).select(
-        op.alias("op"),
+        op.alias("op"), *ordinal,
         F.when(op != "insert", typed("key", contract.keys)).alias("key"),
         F.when(op != "insert", typed("before", contract.readable)).alias("before"),
         typed("after", contract.insertable).alias("after"),
@@ -286,41 +315,54 @@ class ApplyOutcome:
     state: DataFrame
 
 
-def find_conflicts(target: DataFrame, changes: DataFrame, contract: TableContract) -> DataFrame:
+def find_conflicts(target: DataFrame, changes: DataFrame, contract: TableContract, ordered: bool = False) -> DataFrame:
     """Keys of changes that would not hit exactly one row as expected, with a reason.
 
-    The target joins the (usually small) change set, never the other way round: what is left
+    ``ordered`` changes have an ``ordinal``; those to one key run in its order and are judged together. Without it
+    two changes to one key conflict.
+    """
+    return _conflicts(target, _staged(changes, contract, ordered), contract)
+
+
+def _staged(changes: DataFrame, contract: TableContract, ordered: bool) -> DataFrame:
+    """One row of parts per key, ``__k0…``; and one per insert whose key the target makes, which meets no other change."""
+    names = [f"__k{i}" for i in range(len(contract.keys))]
+    keyed = _keyed(changes, contract)
+    brings_key = (F.col("op") != "insert") | _all([F.col(n).isNotNull() for n in names])
+    keyless = as_parts(keyed.where(~brings_key)).drop("ordinal")
+    if ordered:
+        return compose(keyed.where(brings_key), names, contract).unionByName(keyless)
+    parts = as_parts(keyed.where(brings_key)).drop("ordinal")
+    per_key = parts.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*STAGED_PARTS)).alias("part"))
+    problem = F.when(F.col("__n") > 1, "key_repeated")
+    return per_key.select(*names, *[f"part.{p}" for p in STAGED_PARTS if p != "problem"], problem.alias("problem")).unionByName(keyless)
+
+
+def _conflicts(target: DataFrame, staged: DataFrame, contract: TableContract) -> DataFrame:
+    """The target joins the (usually small) change set, never the other way round: what is left
     of it are the hits, so a broadcast change set costs no shuffle of the target.
     """
     keys = contract.keys
     key_names = [f"__k{i}" for i in range(len(keys))]
-    judged_columns = ["op", "before", "before_names"]
-    # The target makes the keys of inserts that bring none: they cannot meet another change or a row.
-    brings_key = (F.col("op") != "insert") | _all([F.col(n).isNotNull() for n in key_names])
-    per_key = (
-        _keyed(changes, contract)
-        .where(brings_key)
-        .groupBy(*key_names)
-        .agg(F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*judged_columns)).alias("__change"))
-    )
-    repeated = per_key.where(F.col("__n") > 1)
-    staged = per_key.where(F.col("__n") == 1).select(*key_names, "__change.*")
+    # Rows without a key of their own cannot meet a row of the target.
+    staged = staged.where(F.col("starts") | _all([F.col(n).isNotNull() for n in key_names]))
     on_key = _all([column(target, k.source) == F.col(f"__k{i}") for i, k in enumerate(keys)])
-    hits = target.join(staged, on_key, "inner").select(*key_names, _expected(target, contract).alias("__as_expected"))
+    judged_columns = staged.select(*key_names, "before", "before_names")
+    hits = target.join(judged_columns, on_key, "inner").select(*key_names, _expected(target, contract).alias("__as_expected"))
     found = hits.groupBy(*[F.col(n).alias(f"__h{i}") for i, n in enumerate(key_names)]).agg(
         F.count(F.lit(1)).alias("__hits"), F.bool_and("__as_expected").alias("__ok")
     )
     judged = staged.join(found, _all([F.col(n).eqNullSafe(F.col(f"__h{i}")) for i, n in enumerate(key_names)]), "left")
     hit_count = F.coalesce("__hits", F.lit(0))
     reason = (
-        F.when((F.col("op") == "insert") & (hit_count > 0), "key_exists")
-        .when((F.col("op") != "insert") & (hit_count == 0), "row_missing")
-        .when((F.col("op") != "insert") & (hit_count > 1), "row_ambiguous")
-        .when((F.col("op") != "insert") & ~F.col("__ok"), "row_changed")
+        F.when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(~F.col("starts") & (hit_count > 0), "key_exists")
+        .when(F.col("starts") & (hit_count == 0), "row_missing")
+        .when(F.col("starts") & (hit_count > 1), "row_ambiguous")
+        .when(F.col("starts") & ~F.col("__ok"), "row_changed")
     )
     named = [F.col(n).alias(k.alias) for n, k in zip(key_names, keys)]
-    broken = judged.select(*named, reason.alias("reason")).where(F.col("reason").isNotNull())
-    return broken.union(repeated.select(*named, F.lit("key_repeated").alias("reason")))
+    return judged.select(*named, reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def _keyed(changes: DataFrame, contract: TableContract) -> DataFrame:
@@ -332,7 +374,8 @@ def _keyed(changes: DataFrame, contract: TableContract) -> DataFrame:
     for i, k in enumerate(contract.keys):
         given = F.col(f"key.`{k.alias}`")
         keys.append((F.coalesce(given, F.col(f"after.`{k.alias}`")) if k.insertable else given).alias(f"__k{i}"))
-    return changes.select("op", "before", "before_names", "after", "changed", *keys)
+    ordinal = ["ordinal"] if "ordinal" in changes.columns else []
+    return changes.select("op", "before", "before_names", "after", "changed", *ordinal, *keys)
 
 
 def _expected(target: DataFrame, contract: TableContract) -> Column:
@@ -349,31 +392,46 @@ def _expected(target: DataFrame, contract: TableContract) -> Column:
     )
 
 
-def apply_changes(target: DataFrame, changes: DataFrame, contract: TableContract) -> ApplyOutcome:
+def apply_changes(
+    target: DataFrame, changes: DataFrame, contract: TableContract, ordered: bool = False, references: Mapping[str, DataFrame] | None = None
+) -> ApplyOutcome:
     """The table after all changes, or unchanged when any of them conflicts.
 
-    Changes are one set: two changes to one key conflict instead of running in order. Runs
-    jobs: the changes are written and judged before the new state is returned, unread.
+    ``ordered`` changes carry an ``ordinal``: changes to one key run in its order, each against what the ones before
+    it leave, and reach the table as one. Otherwise changes are one set, where two to one key conflict.
+    ``references`` are tables by the names that the contract's foreign keys use; a set with a tuple that one of them
+    lacks conflicts as a whole. Runs jobs: the changes are written and judged before the new state is returned, unread.
     """
     if contract.concurrency == "read_only":
         raise TabularError("changes.read_only", "the contract does not allow edits")
-    # Judged and applied from one written copy, whose known size lets Spark broadcast it.
+    if ordered and "ordinal" not in changes.columns:
+        raise TabularError("changes.order", "ordered changes need an 'ordinal' column")
     changes = written(changes, "changes")
-    conflicts = find_conflicts(target, changes, contract)
+    if references is not None:
+        missing = missing_references(changes, contract, references)
+        if missing.take(1):
+            return ApplyOutcome("Conflict", missing.withColumn("reason", F.lit("reference_missing")), target)
+    # Judged and applied from one written copy, whose known size lets Spark broadcast it.
+    staged = written(_staged(changes, contract, ordered), "staged")
+    conflicts = _conflicts(target, staged, contract)
     if conflicts.take(1):
         return ApplyOutcome("Conflict", conflicts, target)
-    return ApplyOutcome("Applied", conflicts, changed_state(target, changes, contract))
+    return ApplyOutcome("Applied", conflicts, _changed(target, staged, contract))
 
 
-def changed_state(target: DataFrame, changes: DataFrame, contract: TableContract) -> DataFrame:
+def changed_state(target: DataFrame, changes: DataFrame, contract: TableContract, ordered: bool = False) -> DataFrame:
     """The target with a conflict-free change set applied."""
-    staged = _keyed(changes, contract)
-    edits = staged.where(F.col("op") != "insert").select(
-        F.col("op").alias("__op"), F.col("after").alias("__after"), F.col("changed").alias("__changed"),
+    return _changed(target, _staged(changes, contract, ordered), contract)
+
+
+def _changed(target: DataFrame, staged: DataFrame, contract: TableContract) -> DataFrame:
+    # A row that is made anew, or gone, leaves the table; the rest of what is hit is updated in place.
+    edits = staged.where("starts").select(
+        (F.col("ends") & ~F.col("made")).alias("__stays"), F.col("after").alias("__after"), F.col("changed").alias("__changed"),
         *[f"__k{i}" for i in range(len(contract.keys))],
     )
     on_key = _all([column(target, k.source) == F.col(f"__k{i}") for i, k in enumerate(contract.keys)])
-    joined = target.join(edits, on_key, "left").where(F.coalesce(F.col("__op") != "delete", F.lit(True)))
+    joined = target.join(edits, on_key, "left").where(F.coalesce("__stays", F.lit(True)))
     settable = {c.source.lower(): c for c in contract.updatable}
     kept = joined.select(
         *[
@@ -386,7 +444,7 @@ def changed_state(target: DataFrame, changes: DataFrame, contract: TableContract
         ]
     )
     given = {c.source.lower(): c for c in contract.insertable}
-    added = staged.where(F.col("op") == "insert").select(
+    added = staged.where("ends AND made").select(
         *[
             (F.col(f"after.`{given[f.name.lower()].alias}`") if f.name.lower() in given else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in target.schema.fields
@@ -396,5 +454,6 @@ def changed_state(target: DataFrame, changes: DataFrame, contract: TableContract
 
 
 __all__ = [
-    "ApplyOutcome", "apply_changes", "changed_state", "diff_snapshots", "find_conflicts", "split_changes", "typed_changes", "validate_changes",
+    "ApplyOutcome", "StagedSet", "apply_changes", "changed_state", "diff_snapshots", "find_conflicts", "split_changes", "stage_changes", "typed_changes",
+    "validate_changes",
 ]

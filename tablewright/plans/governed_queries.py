@@ -12,6 +12,7 @@ from tablewright.governed.changes import (
     apply_changes,
     diff_snapshots,
     split_changes,
+    stage_changes,
     validate_changes,
 )
 from tablewright.governed.contract import ContractColumn, ForeignKey, TableContract, contract_for, project
@@ -329,6 +330,163 @@ def apply_row_version(spark, folder):
     return outcome.state
 
 
+# --- several changes to one key -----------------------------------------------------------
+
+
+def ordered_edits(spark, folder) -> DataFrame:
+    """Chains of edits per order, each against what the edit before it left; all first edits come before all second ones."""
+    orders = table(spark, folder, "orders")
+    cells = {"orderKey": "o_orderkey", "customer": "o_custkey", "status": "o_orderstatus", "price": "o_totalprice"}
+
+    def edit(step: int, op: str, shift: int = 0, before: dict | None = None, **after):
+        key = F.col("o_orderkey") + shift
+        known = {a: F.col(c) for a, c in cells.items()} | {"orderKey": key} | (before or {})
+        if op == "insert":
+            after = {"orderKey": key} | after
+        cell = lambda values, c: values.get(c.alias, F.lit(None)).cast(c.spark_type).alias(c.alias)
+        return F.struct(
+            (F.lit(step * 10**10) + F.col("o_orderkey")).alias("ordinal"), F.lit(op).alias("op"),
+            F.when(F.lit(op != "insert"), F.struct(key.alias("orderKey"))).alias("key"),
+            F.when(F.lit(op != "insert"), F.struct(*[cell(known, c) for c in ORDERS.readable])).alias("before"),
+            F.array(*[F.lit(a) for a in cells]).alias("before_names"),
+            F.struct(*[cell(after, c) for c in ORDERS.insertable]).alias("after"),
+            F.array(*[F.lit(a) for a in after]).cast("array<string>").alias("changed"),
+        )
+
+    none = F.lit(None)
+    made = {"customer": F.col("o_custkey"), "status": F.lit("N"), "price": none}
+    chains = {
+        "1-URGENT": [edit(1, "update", status=F.lit("X")), edit(2, "update", before={"status": F.lit("X")}, price=F.col("o_totalprice") + 1)],
+        "2-HIGH": [edit(1, "delete"), edit(2, "insert", customer=F.lit(7))],
+        "3-MEDIUM": [edit(1, "insert", 10**7, customer=F.col("o_custkey"), status=F.lit("N")), edit(2, "update", 10**7, made, price=F.lit(5.0))],
+        "4-NOT SPECIFIED": [edit(1, "insert", 2 * 10**7), edit(2, "delete", 2 * 10**7, {"customer": none, "status": none, "price": none})],
+        "5-LOW": [edit(1, "update", status=F.lit("Z"))],
+    }
+    chosen = F.coalesce(*[F.when(F.col("o_orderpriority") == p, F.array(*edits)) for p, edits in chains.items()])
+    return orders.select(F.explode(chosen).alias("e")).select("e.*")
+
+
+@query(
+    """
+    SELECT o_orderkey, o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'X' WHEN '5-LOW' THEN 'Z' ELSE o_orderstatus END AS o_orderstatus,
+           CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority
+    FROM orders WHERE o_orderpriority <> '2-HIGH'
+    UNION ALL SELECT o_orderkey, 7, NULL, NULL, NULL, NULL FROM orders WHERE o_orderpriority = '2-HIGH'
+    UNION ALL SELECT o_orderkey + 10000000, o_custkey, 'N', 5.0, NULL, NULL FROM orders WHERE o_orderpriority = '3-MEDIUM'
+    """
+)
+def apply_ordered_changes(spark, folder):
+    """Update after update, insert after delete, update and delete of new rows: each key's edits reach the table as one."""
+    outcome = apply_changes(table(spark, folder, "orders"), ordered_edits(spark, folder), ORDERS, ordered=True)
+    assert outcome.status == "Applied", outcome.status
+    return outcome.state
+
+
+@query("SELECT o_orderkey AS \"orderKey\", 'row_changed' AS reason FROM orders WHERE o_orderpriority = '1-URGENT'")
+def apply_ordered_conflicts(spark, folder):
+    """Second edits made against what the first ones had not left refuse the whole set."""
+    edits = ordered_edits(spark, folder)
+    stale = (F.col("op") == "update") & (F.col("before.status") == "X")
+    edits = edits.withColumn("before", F.when(stale, F.col("before").withField("status", F.lit("W"))).otherwise(F.col("before")))
+    outcome = apply_changes(table(spark, folder, "orders"), edits, ORDERS, ordered=True)
+    assert outcome.status == "Conflict", outcome.status
+    return outcome.conflicts
+
+
+# --- references in the edit path ----------------------------------------------------------
+
+RANK = [ForeignKey("rank", "ranks", column, "label", ("label",), i) for i, column in enumerate(("r_status", "r_priority"))]
+RANKED = TableContract(
+    (
+        ContractColumn("o_orderkey", "id", "int64", nullable=False, key=0),
+        ContractColumn("o_orderstatus", "status", "string", writable=True, foreign_key=RANK[0]),
+        ContractColumn("o_orderpriority", "priority", "string", writable=True, foreign_key=RANK[1]),
+        ContractColumn("o_custkey", "customer", "int64", writable=True),
+    )
+)
+
+
+def ranks(spark, folder) -> DataFrame:
+    """Pairs of status and priority that orders use, all but those of pending urgent ones."""
+    used = table(spark, folder, "orders").select(F.col("o_orderstatus").alias("r_status"), F.col("o_orderpriority").alias("r_priority")).distinct()
+    return used.where("NOT (r_status = 'P' AND r_priority = '1-URGENT')").withColumn("label", F.concat_ws(" ", "r_status", "r_priority"))
+
+
+def ranked_json(spark, folder) -> DataFrame:
+    """Edits of a two-column reference: whole, in part, nulled whole or in part; and inserts that bring one."""
+    orders = table(spark, folder, "orders")
+    kind = F.col("o_custkey") % 6
+    key = F.to_json(F.struct(F.col("o_orderkey").alias("id")))
+    before = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer")))
+    pair = lambda **cells: F.to_json(F.struct(*[c.alias(n) for n, c in cells.items()]), {"ignoreNullFields": "false"})
+    none = F.lit(None).cast("string")
+    after = (
+        F.when(kind == 0, pair(status=F.lit("P"), priority=F.col("o_orderpriority")))
+        .when(kind == 1, pair(status=F.lit("P")))
+        .when(kind == 2, pair(status=none, priority=none))
+        .when(kind == 3, pair(status=none, priority=F.lit("5-LOW")))
+        .when(kind == 4, pair(customer=F.lit(1)))
+        .otherwise(pair(id=F.col("o_orderkey") + 10**7, status=F.lit("Q"), priority=F.col("o_orderpriority")))
+    )
+    insert = kind == 5
+    return orders.select(
+        "o_orderkey", "o_custkey", F.when(insert, "insert").otherwise("update").alias("op"), F.when(~insert, key).alias("key_json"),
+        F.when(~insert, before).alias("before_json"), after.alias("after_json"),
+    )
+
+
+@query(
+    """
+    SELECT o_orderkey, CASE o_custkey % 6 WHEN 1 THEN 'foreign_key_partial_update' WHEN 3 THEN 'foreign_key_partial_null' ELSE '' END AS problems FROM orders
+    """
+)
+def validate_reference_pairs(spark, folder):
+    """A two-column reference is set whole or not at all, and is null whole or not at all."""
+    checked = validate_changes(ranked_json(spark, folder), RANKED)
+    return checked.select("o_orderkey", F.array_join("problems", ",").alias("problems"))
+
+
+@query(
+    """
+    SELECT DISTINCT 'rank' AS foreign_key, CASE WHEN o_custkey % 6 = 0 THEN 'P' ELSE 'Q' END AS status, o_orderpriority AS priority
+    FROM orders WHERE (o_custkey % 6 = 0 AND o_orderpriority = '1-URGENT') OR o_custkey % 6 = 5
+    """
+)
+def stage_reference_pairs(spark, folder):
+    """Pairs that no row has refuse the set, though each change is valid by itself; nulled pairs refer to nothing."""
+    staged = stage_changes(ranked_json(spark, folder).where("o_custkey % 6 IN (0, 2, 4, 5)"), RANKED, {"ranks": ranks(spark, folder)})
+    assert staged.status == "Rejected", staged.status
+    return staged.missing.select("foreign_key", F.col("tuple.status").alias("status"), F.col("tuple.priority").alias("priority"))
+
+
+@query("SELECT DISTINCT 'customer_nation' AS foreign_key, '40' AS nation FROM customer WHERE c_nationkey = 4 AND c_mktsegment <> 'MACHINERY'")
+def apply_missing_reference(spark, folder):
+    """An edit that moves customers to a nation that does not exist leaves the table as it is."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    outcome = apply_changes(customers, customer_changes(spark, folder), CUSTOMERS, references={"nation": table(spark, folder, "nation")})
+    assert outcome.status == "Conflict" and outcome.state is customers
+    return outcome.conflicts.select("foreign_key", F.col("tuple.nation").alias("nation"))
+
+
+@query(
+    """
+    SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN 'status,priority' ELSE 'status,priority,customer' END AS changed,
+           CASE WHEN o_custkey % 3 = 0 THEN o_orderstatus ELSE 'P' END AS status, CASE WHEN o_custkey % 3 = 0 THEN '5-LOW' ELSE o_orderpriority END AS priority
+    FROM orders WHERE (o_custkey % 3 = 0 AND o_orderpriority <> '5-LOW') OR (o_custkey % 3 = 1 AND o_orderstatus <> 'P')
+    """
+)
+def diff_reference_pairs(spark, folder):
+    """One changed part of a two-column reference brings the other along."""
+    old = project(table(spark, folder, "orders"), RANKED)
+    third = F.col("customer") % 3
+    new = old.select(
+        "id", F.when(third == 1, "P").otherwise(F.col("status")).alias("status"), F.when(third == 0, "5-LOW").otherwise(F.col("priority")).alias("priority"),
+        F.when((third == 1) & (F.col("status") != "P"), F.col("customer") + 1).otherwise(F.col("customer")).alias("customer"),
+    )
+    changes = diff_snapshots(old, new, RANKED)
+    return changes.select(F.col("key.id").alias("id"), F.array_join("changed", ",").alias("changed"), "after.status", "after.priority")
+
+
 CELL_COLUMNS = (
     ContractColumn("", "whole", "int16", nullable=False),
     ContractColumn("", "money", "decimal", precision=7, scale=2),

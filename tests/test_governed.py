@@ -11,6 +11,7 @@ from tablewright.governed.changes import (
     diff_snapshots,
     find_conflicts,
     split_changes,
+    stage_changes,
     typed_changes,
     validate_changes,
 )
@@ -24,7 +25,7 @@ from tablewright.governed.query import (
     stable_sorts,
     where_contract,
 )
-from tablewright.governed.references import fk_lookup, fk_tuples, missing_fk, resolve_labels
+from tablewright.governed.references import fk_lookup, fk_tuples, missing_fk, missing_references, resolve_labels
 from tablewright.schema import schema_fingerprint
 
 ROWS = TableContract(
@@ -287,3 +288,147 @@ def test_row_version_ignores_other_columns(spark):
     changes = diff_snapshots(old, old.withColumn("name", F.lit("after")), contract)
     assert [tuple(r) for r in apply_changes(table, changes, contract).state.collect()] == [(7, "after", bytearray(b"\x01\x02"))]
     assert apply_changes(table.withColumn("v", F.lit(b"\x09")), changes, contract).status == "Conflict"
+
+
+# --- several changes to one key -----------------------------------------------------------
+
+STEPS = "ordinal long, op string, key_json string, before_json string, after_json string"
+
+
+def run_in_order(rows, steps):
+    """The steps one after another on a plain table, as a database would run them; None when one fails."""
+    table = {r[0]: {"id": r[0], "name": r[1], "region": r[2], "site": r[3]} for r in rows}
+    for _, op, key, before, after in sorted(steps, key=lambda s: s[0]):
+        if op == "insert":
+            if after["id"] in table:
+                return None
+            table[after["id"]] = {"name": None, "region": None, "site": None} | after
+            continue
+        row = table.get(key["id"])
+        if row is None or any(row[a] != v for a, v in before.items()):
+            return None
+        if op == "delete":
+            del table[key["id"]]
+        else:
+            row.update(after)
+    return sorted(((r["id"], r["name"], r["region"], r["site"]) for r in table.values()), key=str)
+
+
+def random_steps(rng, rows, wrong):
+    """Edits that mostly fit what the edits before them left."""
+    now = {r[0]: {"id": r[0], "name": r[1], "region": r[2], "site": r[3]} for r in rows}
+    steps = []
+    for n in range(rng.randint(1, 14)):
+        k = rng.randint(1, 5)
+        row = now.get(k)
+        pair = rng.choice([{}, {"region": rng.choice([1, 2]), "site": 1}, {"region": None, "site": None}])
+        if (row is None) != (rng.random() < wrong):
+            after = {"id": k, "name": rng.choice("abc")} | pair
+            steps.append([n, "insert", None, None, after])
+            now[k] = {"region": None, "site": None} | after
+            continue
+        row = row or {"id": k, "name": "a", "region": None, "site": None}
+        before = dict(row)
+        if rng.random() < wrong:
+            before["name"] = "zz"
+        if rng.random() < 0.3:
+            steps.append([n, "delete", {"id": k}, before, None])
+            now.pop(k, None)
+        else:
+            after = pair or {"name": rng.choice("abc")}
+            asked = {a: before[a] for a in before if a in after or a == "id" or rng.random() < 0.5}
+            steps.append([n, "update", {"id": k}, asked, after])
+            now[k] = row | after
+    for i, n in enumerate(sorted(rng.sample(range(100_000), len(steps)))):  # far apart, so several rounds of blocks
+        steps[i][0] = n
+    rng.shuffle(steps)
+    return steps
+
+
+@pytest.mark.parametrize("bits", [10, 1])
+def test_ordered_changes_equal_steps_in_order(spark, monkeypatch, bits):
+    from tablewright.governed import ordered
+
+    monkeypatch.setattr(ordered, "BLOCK_BITS", bits)
+    rng, seen = random.Random(bits), set()
+    for turn in range(14 if bits == 10 else 5):
+        rows = [(k, "a", *rng.choice([(None, None), (1, 1)]), None) for k in rng.sample(range(1, 6), rng.randint(0, 5))]
+        steps = random_steps(rng, rows, 0.06 if turn % 2 else 0)
+        frame = spark.createDataFrame([(s[0], *change(*s[1:])) for s in steps], STEPS).repartition(2)
+        target = stored(spark, rows)
+        outcome = apply_changes(target, typed_changes(frame, EDIT), EDIT, ordered=True)
+        want = run_in_order(rows, steps)
+        assert (outcome.status == "Applied") == (want is not None), (rows, steps, [tuple(r) for r in outcome.conflicts.collect()])
+        if want is None:
+            assert outcome.state is target
+        else:
+            assert sorted((tuple(r)[:4] for r in outcome.state.collect()), key=str) == want
+        seen.add(outcome.status)
+    assert seen == {"Applied", "Conflict"}
+
+
+def test_order_must_be_given_and_clear(spark):
+    twice = [(1, *change("update", {"id": 1}, {"id": 1, "name": "a"}, {"name": "b"})), (1, *change("update", {"id": 1}, {"id": 1, "name": "b"}, {"name": "c"}))]
+    target = stored(spark, [(1, "a", None, None, None)])
+    changes = typed_changes(spark.createDataFrame(twice, STEPS), EDIT)
+    assert [r["reason"] for r in apply_changes(target, changes, EDIT, ordered=True).conflicts.collect()] == ["order_repeated"]
+    with pytest.raises(TabularError, match="changes.order"):
+        apply_changes(target, changes.drop("ordinal"), EDIT, ordered=True)
+    with pytest.raises(Exception, match="changes.order"):
+        apply_changes(target, changes.withColumn("ordinal", F.lit(None).cast("long")), EDIT, ordered=True)
+    assert apply_changes(target, changes.limit(0), EDIT, ordered=True).state.count() == 1
+
+
+def test_a_row_version_covers_one_write(spark):
+    contract = TableContract(
+        (ContractColumn("id", "id", "int32", key=0, nullable=False), ContractColumn("name", "name", "string", writable=True), ContractColumn("v", "version", "int32", token=True)), "row_version",
+    )
+    target = spark.createDataFrame([(1, "a", 5)], "id int, name string, v int")
+    rows = [(n, "update", (1,), (1, "a", 5), ["id", "version"], (1, f"b{n}"), ["name"]) for n in range(2)]
+    shape = "ordinal long, op string, key struct<id:int>, before struct<id:int,name:string,version:int>, before_names array<string>, after struct<id:int,name:string>, changed array<string>"
+    edits = spark.createDataFrame(rows, shape)
+    assert apply_changes(target, edits.where("ordinal = 0"), contract, ordered=True).status == "Applied"
+    outcome = apply_changes(target, edits, contract, ordered=True)
+    assert [r["reason"] for r in outcome.conflicts.collect()] == ["row_changed"]
+
+
+# --- references in the edit path ----------------------------------------------------------
+
+
+def test_staging_refuses_a_set_with_a_missing_tuple(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "op string, key_json string, before_json string, after_json string")
+    places = spark.createDataFrame([(1, 2), (3, None)], "r int, s int")
+    staged = stage_changes(frame(GOOD), EDIT, {"PLACES": places})
+    assert staged.status == "Pending" and staged.changes.count() == 4
+    staged = stage_changes(frame([*GOOD, change("insert", None, None, {"id": 9, "name": "x", "region": 9, "site": 9})]), EDIT, {"Places": places})
+    assert staged.status == "Rejected" and staged.changes is None
+    assert [(r["foreign_key"], r["tuple"]) for r in staged.missing.collect()] == [("place", {"region": "9", "site": "9"})]
+    staged = stage_changes(frame([*GOOD, change("insert", None, None, {"id": 9})]), EDIT, {"Places": places})
+    assert staged.status == "Rejected" and staged.missing is None and staged.problems.count() == 1
+    with pytest.raises(TabularError, match="changes.references"):
+        stage_changes(frame(GOOD), EDIT, {})
+
+
+def test_two_references_in_one_pass(spark):
+    contract = TableContract(
+        (
+            ContractColumn("id", "id", "int32", nullable=False, key=0),
+            ContractColumn("a", "a", "int32", writable=True, foreign_key=ForeignKey("one", "t", "k", "n", ("n",), 0)),
+            ContractColumn("b", "b", "string", writable=True, foreign_key=ForeignKey("two", "u", "x", "n", ("n",), 0)),
+            ContractColumn("c", "c", "int32", writable=True, foreign_key=ForeignKey("two", "u", "y", "n", ("n",), 1)),
+        )
+    )
+    rows = [(i, i % 3, "xy"[i % 2], i % 4) for i in range(24)]
+    now = spark.createDataFrame(rows, "id int, a int, b string, c int")
+    old = now.where("false")
+    t = spark.createDataFrame([(0,), (1,)], "k int")
+    u = spark.createDataFrame([("x", 0), ("x", 2), ("y", 1)], "x string, y int")
+    changes = diff_snapshots(old, now, contract)
+    got = {(r["foreign_key"], tuple(sorted(r["tuple"].items()))) for r in missing_references(changes, contract, {"t": t, "u": u}).collect()}
+    assert got == {("one", (("a", "2"),)), ("two", (("b", "y"), ("c", "3")))}
+    with pytest.raises(TabularError, match="lookup.type"):
+        missing_references(changes, contract, {"t": spark.createDataFrame([("0",)], "k string"), "u": u})
+    outcome = apply_changes(old, changes, contract, references={"t": t, "u": u})
+    assert outcome.status == "Conflict" and outcome.state is old
+    whole = {"t": spark.createDataFrame([(0,), (1,), (2,)], "k int"), "u": u.union(spark.createDataFrame([("y", 3)], u.schema))}
+    assert apply_changes(old, changes, contract, references=whole).state.count() == 24
