@@ -90,40 +90,40 @@ def _bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def _present(codes: Sequence[Column]) -> Column:
-    """The distinct non-null texts, in order; unlike a lambda filter this stays in generated code."""
-    nothing = F.lit(None).cast("string")
-    return F.array_except(F.array(*codes, nothing), F.array(nothing))
+    """The distinct non-null texts, in order.
+
+    The lambda keeps the projection out of whole-stage code, where so many tests become one method, too long for the
+    JVM to compile; alone, a projection's code is split into short ones.
+    """
+    return F.array_distinct(F.filter(F.array(*codes), lambda c: c.isNotNull()))
 
 
 def _parsed(changes: DataFrame) -> DataFrame:
     """Add, per JSON part, ``__<part>_names`` (null unless an object) and ``__<part>``.
 
-    The latter maps lower-case names to JSON kind and text; it is null when names repeat.
+    The latter maps lower-case names to JSON kind and text; it is null when names repeat. Each part is parsed once.
     """
     named = _bind(changes, {f"__{p}_names": F.json_object_keys(F.col(f"{p}_json")) for p in PARTS})
 
-    def values(part: str) -> Column:
-        parsed = F.from_json(F.col(f"{part}_json"), "map<string,variant>")
-        described = F.transform_values(
-            parsed,
-            lambda _, v: F.struct(
-                # A JSON null may come back as an SQL null or as a null variant.
-                F.coalesce(F.schema_of_variant(v), F.lit("VOID")).alias("kind"),
-                F.try_variant_get(v, "$", "string").alias("text"),
-            ),
+    def described(part: str) -> Column:
+        cells = F.transform_values(
+            F.from_json(F.col(f"{part}_json"), "map<string,variant>"),
+            # A JSON null may come back as an SQL null or as a null variant.
+            lambda _, v: F.struct(F.coalesce(F.schema_of_variant(v), F.lit("VOID")).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")),
         )
-        clean = F.col(f"__{part}_names").isNotNull() & ~_repeats(F.col(f"__{part}_names"))
-        return F.when(clean, F.transform_keys(described, lambda k, _: F.lower(k)))
+        names = F.col(f"__{part}_names")
+        return F.when(names.isNotNull() & ~_repeats(_lower(names)), F.transform_keys(cells, lambda k, _: F.lower(k)))
 
-    return _bind(named, {f"__{p}": values(p) for p in PARTS})
+    lowered = {f"__{p}_lower": F.coalesce(_lower(F.col(f"__{p}_names")), F.array().cast("array<string>")) for p in PARTS}
+    return _bind(named, {f"__{p}": described(p) for p in PARTS} | lowered)
 
 
 def _lower(names: Column) -> Column:
     return F.transform(names, lambda n: F.lower(n))
 
 
-def _repeats(names: Column) -> Column:
-    return F.size(F.array_distinct(_lower(names))) != F.size(names)
+def _repeats(lower: Column) -> Column:
+    return F.size(F.array_distinct(lower)) != F.size(lower)
 
 
 def _value(part: str, c: ContractColumn) -> Column:
@@ -164,21 +164,21 @@ def validate_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
     """
     if contract.concurrency == "read_only":
         raise TabularError("changes.read_only", "the contract does not allow edits")
+    judged = _judged(_parsed(changes), contract)
+    return judged.select(*[column(changes, c) for c in changes.columns], "problems")
+
+
+def _judged(prepared: DataFrame, contract: TableContract) -> DataFrame:
+    """Parsed changes with their ``problems``."""
     groups = contract.foreign_keys()
     op = F.lower("op")
     is_insert, is_update, is_delete = op == "insert", op == "update", op == "delete"
     parts = {"key": (~is_insert, MAX_KEY_JSON), "before": (~is_insert, MAX_ROW_JSON), "after": (~is_delete, MAX_ROW_JSON)}
-    nothing = F.array().cast("array<string>")
-    prepared = _bind(
-        _parsed(changes), {f"__{p}_lower": F.coalesce(_lower(F.col(f"__{p}_names")), nothing) for p in PARTS}
-    )
-    # One step per part keeps the generated methods small enough to be compiled.
     for part in PARTS:
         values = {f"__v{i}": _value(part, c) for i, c in enumerate(contract.readable)}
         looked_up = _bind(prepared, values)
-        wrong = _any(
-            [F.col(v).isNotNull() & ~_compatible(F.col(v), c) for v, c in zip(values, contract.readable)]
-        )
+        # As in _present, the lambda lets the tests' code be split.
+        wrong = F.exists(F.array(*[F.col(v).isNotNull() & ~_compatible(F.col(v), c) for v, c in zip(values, contract.readable)]), lambda x: x)
         prepared = _bind(looked_up, {f"__{part}_wrong": wrong}).drop(*values)
 
     def names(part: str) -> Column:
@@ -200,7 +200,7 @@ def validate_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
             F.when(needed & text.isNull(), f"change_{part}_required"),
             F.when(F.char_length(text) > limit, f"change_{part}_too_large"),
             F.when(text.isNotNull() & F.col(f"__{part}_names").isNull(), f"change_{part}_invalid"),
-            F.when(_repeats(F.col(f"__{part}_names")), f"change_{part}_duplicate"),
+            F.when(F.col(f"__{part}_names").isNotNull() & _repeats(names(part)), f"change_{part}_duplicate"),
         ]
     keys = [k.alias for k in contract.keys]
     readable = [c.alias for c in contract.readable]
@@ -237,18 +237,23 @@ def validate_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
         problems.append(F.when(~is_delete & (supplied == size) & (nulls > 0) & (nulls < size), "foreign_key_partial_null"))
     required = [c.alias for c in contract.insertable if not c.nullable]
     problems.append(F.when(is_insert & ~includes("after", required), "change_required_values_missing"))
-    return prepared.withColumn("problems", _present(problems)).select(*[column(changes, c) for c in changes.columns], "problems")
+    return _bind(prepared, {"problems": _present(problems)})
 
 
 def split_changes(changes: DataFrame, contract: TableContract) -> tuple[DataFrame, DataFrame]:
     """Valid changes in typed form, and the others with their problems.
 
-    The judged changes are written once: a filter on ``problems`` would otherwise move below
-    the projections that compute it and repeat them.
+    Changes are parsed, judged and typed in one pass, and written once: a filter on ``problems`` would otherwise
+    move below the projections that compute it and repeat them.
     """
-    judged = written(validate_changes(changes, contract), "judged")
-    valid = typed_changes(judged.where(F.size("problems") == 0), contract)
-    return valid, judged.where(F.size("problems") > 0)
+    if contract.concurrency == "read_only":
+        raise TabularError("changes.read_only", "the contract does not allow edits")
+    judged = _judged(_parsed(changes), contract)
+    typed = _typed(judged, contract)
+    # Only valid cells can be cast without failing the job.
+    judged = judged.select(*[column(judged, c) for c in changes.columns], "problems", F.when(F.size("problems") == 0, F.struct(*typed)).alias("__typed"))
+    judged = written(judged, "judged")
+    return judged.where("__typed IS NOT NULL").select("__typed.*"), judged.where("__typed IS NULL").drop("__typed")
 
 
 @dataclass(frozen=True)
@@ -281,8 +286,12 @@ def _string_array(values: Sequence[str]) -> Column:
 
 
 def typed_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
-    """Validated JSON changes in the shape ``diff_snapshots`` gives, plus ``before_names``."""
+    """Validated JSON changes in the shape ``diff_snapshots`` gives, plus ``before_names``, and ``ordinal`` where they have one."""
+    parsed = _parsed(changes)
+    return parsed.select(*_typed(parsed, contract))
+
 
+def _typed(parsed: DataFrame, contract: TableContract) -> list[Column]:
     def typed(part: str, columns: Sequence[ContractColumn]) -> Column:
         cells = []
         for c in columns:
@@ -295,15 +304,14 @@ def typed_changes(changes: DataFrame, contract: TableContract) -> DataFrame:
         return _present([F.when(_value(part, c).isNotNull(), c.alias) for c in columns])
 
     op = F.lower("op")
-    ordinal = ["ordinal"] if "ordinal" in changes.columns else []
-    return _parsed(changes).select(
-        op.alias("op"), *ordinal,
+    return [
+        op.alias("op"), *(["ordinal"] if "ordinal" in parsed.columns else []),
         F.when(op != "insert", typed("key", contract.keys)).alias("key"),
         F.when(op != "insert", typed("before", contract.readable)).alias("before"),
         typed("after", contract.insertable).alias("after"),
         present("after", contract.insertable).alias("changed"),
         present("before", contract.readable).alias("before_names"),
-    )
+    ]
 
 
 @dataclass(frozen=True)
