@@ -74,32 +74,14 @@ def read_delimited(
 ) -> DataFrame:
     """A file or folder of quoted text; every file must carry the same header.
 
-    Ragged rows and values that do not fit their type fail the job. Files of every size and with
-    either line end are read in blocks (see ``records``), at the cost of one shuffle of the lines;
-    line breaks inside quotes stay as they are. With ``embedded_newlines=False`` files split without it.
+    Ragged rows, misplaced quotes and values that do not fit their type fail the job. Files of every size and with
+    either line end are read in blocks (see ``records``), at the cost of one shuffle of the lines; line breaks inside
+    quotes stay as they are, or fail the job with ``embedded_newlines=False``.
     """
-    typed, header = delimited_schema(spark, path, has_header, delimiter, columns, embedded_newlines, max_columns)
-    names = header if header is not None else [c.name for c in typed]
-    if embedded_newlines:
-        return _from_records(spark, path, typed, has_header, delimiter)
-    raw_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = (
-        spark.read.options(**_options(delimiter, embedded_newlines))
-        .option("header", str(has_header).lower())
-        .option("enforceSchema", "false")
-        .option("mode", "FAILFAST")
-        .schema(raw_schema)
-        .csv(path)
-    )
-    return raw.select(*[_cell(raw[quoted(n)], c).alias(c.name) for n, c in zip(names, typed)])
-
-
-def _from_records(
-    spark: SparkSession, path: str, typed: Sequence[TypedColumn], has_header: bool, delimiter: str
-) -> DataFrame:
+    typed, _ = delimited_schema(spark, path, has_header, delimiter, columns, embedded_newlines, max_columns)
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(typed))])
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "FAILFAST", "columnPruning": "false"}
-    records = quoted_records(spark, path).where("head OR record <> ''")
+    records = quoted_records(spark, path, delimiter, embedded_newlines)
     cells = records.select("head", F.from_csv("record", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("cells"))
     if has_header:
         found = F.array(*[F.lower(F.trim(F.coalesce(f"cells._{i}", F.lit("")))) for i in range(len(typed))])

@@ -1,5 +1,6 @@
 import io
 import os
+import random
 import zipfile
 from datetime import datetime
 from decimal import Decimal
@@ -103,6 +104,76 @@ def test_large_files_are_read_in_blocks(spark, tmp_path, block):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@pytest.mark.parametrize("embedded", [True, False])
+@pytest.mark.parametrize(
+    "line", ['1,5"6" pipe', '1,5" pipe', '1,"a"b', '1,"a" ', '1, "a"', '"1"x,a', '1,a""', '1,"a""', '1,"a"""b"', '1,""a""', '1,"a\n"b', '1,"a\n,b"c,"', '1,"a\nb"" c', '1,x\n2,5" a\n3,6" b'],
+)
+def test_stray_quotes_fail(spark, tmp_path, line, embedded):
+    path = put(tmp_path / "in", "a.csv", f"Id,Name\n0,z\n{line}\n9,y\n")
+    with pytest.raises(JOB_FAILURES, match="file.quotes|file.line_break|MALFORMED"):
+        read_delimited(spark, path, columns=PEOPLE, embedded_newlines=embedded).collect()
+
+
+def test_quotes_against_a_character_automaton(spark, tmp_path):
+    """Random texts over quotes, delimiters and line breaks: read as the automaton reads them, or refused with it."""
+
+    def automaton(text):
+        rows, row, cell, state = [], [], "", "start"
+        for c in text + "\n":
+            if state in ("start", "plain") and c == '"':
+                if state == "plain":
+                    return None
+                state = "within"
+            elif state == "within":
+                state, cell = ("after", cell) if c == '"' else (state, cell + c)
+            elif state == "after" and c == '"':
+                state, cell = "within", cell + c
+            elif c in ",\n":
+                row, cell, state = [*row, cell], "", "start"
+                if c == "\n":
+                    rows, row = rows + ([row] if row != [""] else []), []
+            elif state == "after":
+                return None
+            else:
+                state, cell = "plain", cell + c
+        return rows if state == "start" and all(len(r) == 2 for r in rows) else None
+
+    rng, seen = random.Random(3), set()
+    for n in range(40):
+        cells = ['"a"', "b", '"c,"', '"d\ne"', '""', '"f""g"', "", '"\n"', '"""h"""'] + (['i"', 'j"k', '"l"m', '"'] if n % 4 == 0 else [])
+        text = "\n".join(f"{rng.choice(cells)},{rng.choice(cells)}" for _ in range(rng.randint(1, 5)))
+        want = automaton(text)
+        path = put(tmp_path / str(n), "a.csv", "x,y\n" + text)
+        try:
+            got = sorted(map(list, read_delimited(spark, path, columns=[TypedColumn("x"), TypedColumn("y")]).collect()))
+        except JOB_FAILURES:
+            got = None
+        assert got == (None if want is None else sorted(want)), text
+        seen.add(want is None)
+    assert seen == {True, False}
+
+
+def test_flat_files_keep_their_rules(spark, tmp_path):
+    path = put(tmp_path / "in", "a.csv", '\ufeffId,Name\r\n1,"a, ""b"""\r\n\r\n2,c\n3,\n')
+    assert sorted(map(tuple, read_delimited(spark, path, columns=PEOPLE, embedded_newlines=False).collect())) == [(1, 'a, "b"'), (2, "c"), (3, "")]
+    broken = put(tmp_path / "broken", "a.csv", 'Id,Name\n1,"a\nb"\n')
+    with pytest.raises(JOB_FAILURES, match="file.line_break"):
+        read_delimited(spark, broken, columns=PEOPLE, embedded_newlines=False).collect()
+    assert read_delimited(spark, broken, columns=PEOPLE).first()["Name"] == "a\nb"
+
+
+def test_lines_are_dealt_once_and_no_copy_stays(spark, tmp_path):
+    from tablewright.session import shared_folder
+
+    path = put(tmp_path / "in", "a.csv", 'Id,Name\n1,"a\nb"\n2,c\n')
+    before = set(os.listdir(shared_folder(spark)))
+    out = read_delimited(spark, path, columns=PEOPLE)
+    assert out.count() == 2 and set(os.listdir(shared_folder(spark))) == before
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
 @pytest.mark.parametrize("body", ["Id,Name\n1\n", "Id,Name\n1,a,b\n", "Id,Name\nx,a\n", 'Id,Name\n1,"a\n', "Id,Other\n1,a\n"])
 def test_blocks_are_as_strict(spark, tmp_path, body):
     path = put(tmp_path / "in", "a.csv", body)
