@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.errors import TabularError
+from tablewright.errors import TabularError, marked
 from tablewright.schema import check_names, logical_type, quoted
 
 # The logical column types and their Spark types.
@@ -78,7 +78,7 @@ def typed_columns(columns) -> list[TypedColumn]:
 
 
 def fail(code: str, message: str) -> Column:
-    return F.raise_error(F.lit(f"{code}: {message}"))
+    return F.raise_error(F.lit(marked(f"{code}: {message}")))
 
 
 def try_timestamp(text: Column) -> Column:

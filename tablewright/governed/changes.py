@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tablewright.errors import TabularError
 from tablewright.functions.values import BASE64_TEXT, GUID_TEXT
 from tablewright.governed.cells import parse_public
-from tablewright.governed.contract import ContractColumn, TableContract
+from tablewright.governed.contract import ContractColumn, TableContract, check_schema
 from tablewright.governed.ordered import PARTS as STAGED_PARTS
 from tablewright.governed.ordered import as_parts, compose
 from tablewright.governed.references import missing_references
@@ -266,12 +266,14 @@ class StagedSet:
     changes: DataFrame | None
 
 
-def stage_changes(changes: DataFrame, contract: TableContract, references: Mapping[str, DataFrame]) -> StagedSet:
-    """Accept a set of JSON changes whole, or refuse it whole.
+def stage_changes(changes: DataFrame, contract: TableContract, references: Mapping[str, DataFrame], target: DataFrame | None = None) -> StagedSet:
+    """Accept a set of JSON changes whole, or refuse it whole; with ``target``, only while its schema is the contract's.
 
     Every change must be valid, and every complete reference tuple in the set must have its row in ``references``,
     the tables by the names that the contract's foreign keys use. Runs jobs: the set is judged and written once.
     """
+    if target is not None:
+        check_schema(target, contract)
     valid, problems = split_changes(changes, contract)
     if problems.take(1):
         return StagedSet("Rejected", problems, None, None)
@@ -412,6 +414,7 @@ def apply_changes(
     """
     if contract.concurrency == "read_only":
         raise TabularError("changes.read_only", "the contract does not allow edits")
+    check_schema(target, contract)
     if ordered and "ordinal" not in changes.columns:
         raise TabularError("changes.order", "ordered changes need an 'ordinal' column")
     changes = written(changes, "changes")

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import TabularError
-from tablewright.schema import check_names, column
+from tablewright.schema import check_names, column, schema_fingerprint
 
 # The public column types and their Spark types. Time stays validated text.
 PUBLIC_TYPES: dict[str, T.DataType] = {
@@ -85,6 +85,8 @@ class TableContract:
     # "original_values", "row_version" or "read_only"
     concurrency: str = "original_values"
     max_cell_bytes: int = 2 * 1024 * 1024
+    # Fingerprint of the table the contract was made for; reads, staged sets and edits of another schema are refused.
+    fingerprint: str | None = None
 
     def __post_init__(self):
         check_names([c.alias for c in self.columns], "alias")
@@ -136,6 +138,25 @@ class TableContract:
         return groups
 
 
+def table_fingerprint(df: DataFrame, contract: TableContract) -> str:
+    """The table's schema with the contract's keys and references, as one digest."""
+    return schema_fingerprint(df, [k.source for k in contract.keys], [
+        f"{name}|{','.join(f'{p.source}={p.foreign_key.referenced_column}' for p in parts)}|{parts[0].foreign_key.referenced}"
+        for name, parts in contract.foreign_keys().items()
+    ])
+
+
+def pinned(contract: TableContract, df: DataFrame) -> TableContract:
+    """The contract bound to the table as it is now."""
+    return replace(contract, fingerprint=table_fingerprint(df, contract))
+
+
+def check_schema(df: DataFrame, contract: TableContract) -> None:
+    """Refuse a table whose schema is not the one the contract is pinned to; runs no job."""
+    if contract.fingerprint is not None and table_fingerprint(df, contract) != contract.fingerprint:
+        raise TabularError("contract.schema_changed", "the table's schema no longer matches the contract")
+
+
 def contract_for(df: DataFrame, keys: Sequence[str], writable: Sequence[str] = (), **options) -> TableContract:
     """A contract that publishes every column of ``df`` under its own name."""
     names = {
@@ -163,8 +184,9 @@ def project(df: DataFrame, contract: TableContract, guard_cells: bool = False) -
     """Readable columns in contract order under their public aliases.
 
     With ``guard_cells`` a text or binary cell above the byte limit becomes null and the
-    row's ``__oversize`` flag is set.
+    row's ``__oversize`` flag is set. A pinned contract refuses a table whose schema has changed.
     """
+    check_schema(df, contract)
     guarded = [c for c in contract.readable if c.type in ("string", "binary")] if guard_cells else []
     too_big = {c.alias: F.octet_length(column(df, c.source)) > contract.max_cell_bytes for c in guarded}
     cells = []

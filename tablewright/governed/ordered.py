@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.values import fail
 from tablewright.governed.contract import TableContract
 
 # Changes of one key that are composed at a time: 2 to this power.
@@ -96,7 +97,7 @@ def compose(changes: DataFrame, keys: Sequence[str], contract: TableContract) ->
     A null ordinal fails the job; one that a key has twice is a problem of the key. Runs a job that finds the
     span of the ordinals, which sets the number of steps: one for each 2^BLOCK_BITS-fold of it.
     """
-    order = F.when(F.col("ordinal").isNull(), F.raise_error(F.lit("changes.order: a change has no ordinal")).cast("bigint")).otherwise(F.col("ordinal").cast("bigint"))
+    order = F.when(F.col("ordinal").isNull(), fail("changes.order", "a change has no ordinal").cast("bigint")).otherwise(F.col("ordinal").cast("bigint"))
     rows = as_parts(changes).withColumn("ordinal", order)
     span = rows.agg(F.min("ordinal").alias("low"), F.max("ordinal").alias("high")).first()
     low, left = span["low"] or 0, (span["high"] or 0) - (span["low"] or 0)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.errors import TabularError
+from tablewright.operators.source_order import without_source_order
 from tablewright.schema import MAX_NAME, actual_name, column, field, logical_type, quoted
 
 KINDS = ("inner", "left", "right", "full")
@@ -39,7 +40,7 @@ def join(
 ) -> DataFrame:
     """Join on 1 to 16 key pairs of the same type; a null key never matches.
 
-    Output: all left columns, then all right columns (see ``join_output_names``).
+    Output: all left columns, then all right columns (see ``join_output_names``). Source order ends here.
 
     ``unique`` names the side (``"left"``, ``"right"`` or ``"both"``) known to hold each key
     at most once. Adaptive execution can split a hot key on either side of an inner join,
@@ -47,6 +48,7 @@ def join(
     hold a hot key is built as the inner join plus the unmatched rows, found against the
     distinct keys of that side (combined map-side); both parts then split on every side.
     """
+    left, right = without_source_order(left), without_source_order(right)
     if how not in KINDS:
         raise TabularError("join.type", f"unknown join type '{how}'")
     if not 1 <= len(left_keys) == len(right_keys) <= 16:

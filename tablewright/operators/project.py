@@ -11,13 +11,15 @@ from pyspark.sql import types as T
 from tablewright.errors import TabularError
 from tablewright.functions.values import TypedColumn, fail, to_text, try_parse, typed_columns
 from tablewright.functions.variables import vars_struct
-from tablewright.schema import actual_name, check_names, column, logical_type, quoted
+from tablewright.operators.source_order import SOURCE, has_source_order
+from tablewright.schema import check_names, column, logical_type, quoted
 
 
 def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The named columns in the given order, spelled as in the input; no rename, no cast."""
+    """The named columns in the given order, spelled as in the input; no rename, no cast. Source order goes along."""
     check_names(list(columns))
-    return df.select(*[column(df, name) for name in columns])
+    hidden = [SOURCE] if has_source_order(df) else []
+    return df.select(*[column(df, name) for name in columns], *hidden)
 
 
 def coerce(value: Column, source: T.DataType, target: TypedColumn) -> Column:
@@ -90,8 +92,3 @@ def with_variables(df: DataFrame, variables: Mapping[str, Column] | None) -> Dat
 def require_value(value: Column, name: str) -> Column:
     """Null fails the job."""
     return F.coalesce(value, fail("value.null", f"column '{name}' must not be null"))
-
-
-def rename_like(df: DataFrame, names: Sequence[str]) -> list[str]:
-    """Spell the requested names the way the input does."""
-    return [actual_name(df, n) for n in names]

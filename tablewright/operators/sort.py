@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import TabularError
 from tablewright.limits import require_at_most
+from tablewright.operators.ranks import Term, slice_rows
+from tablewright.operators.source_order import SOURCE, has_source_order
 from tablewright.schema import check_names, column, is_floating, row_hash
 from tablewright.session import shared_folder
 
@@ -37,67 +39,52 @@ def sort_keys(keys: Sequence[SortKey | Mapping | str]) -> list[SortKey]:
     return result
 
 
-def order_columns(df: DataFrame, keys: Sequence[SortKey]) -> list[Column]:
-    order = []
+def order_terms(df: DataFrame, keys: Sequence[SortKey]) -> list[Term]:
+    terms = []
     for key in keys:
         cell = column(df, key.column)
         if is_floating(df, key.column):
             # NaN sorts below every number: order on "is a number" first.
-            order.append(_directed(F.when(cell.isNotNull(), ~F.isnan(cell)), key))
-        order.append(_directed(cell, key))
-    return order
+            terms.append(Term(F.when(cell.isNotNull(), ~F.isnan(cell)), key.descending, key.nulls_first))
+        terms.append(Term(cell, key.descending, key.nulls_first))
+    return terms
 
 
-def _directed(cell: Column, key: SortKey) -> Column:
-    if key.descending:
-        return cell.desc_nulls_first() if key.nulls_first else cell.desc_nulls_last()
-    return cell.asc_nulls_first() if key.nulls_first else cell.asc_nulls_last()
+def order_columns(df: DataFrame, keys: Sequence[SortKey]) -> list[Column]:
+    return [t.order for t in order_terms(df, keys)]
 
 
-def sort_order(df: DataFrame, keys, tie_breaker: Sequence[str] | None = None) -> list[Column]:
-    """Requested keys, then the tie breaker; without one, a content hash of the row.
+def sort_order(df: DataFrame, keys, tie_breaker: Sequence[str] | None = None) -> list[Term]:
+    """Requested keys, then the tie breaker; without one, the source order if the rows carry it, else a content hash.
 
-    Either makes the order repeatable and lets range partitioning cut through a hot key; the
+    Each makes the order repeatable and lets range partitioning cut through a hot key; the
     hash has eight bytes, which keeps the sampled range bounds small.
     """
     ranking = sort_keys(keys)
     if not 1 <= len(ranking) <= 16:
         raise TabularError("sort.keys", "expected 1 to 16 sort keys")
     check_names([k.column for k in ranking])
-    ties = [SortKey(c) for c in tie_breaker or ()]
-    order = order_columns(df, ranking + ties)
-    return order if ties else [*order, row_hash(column(df, c) for c in df.columns)]
+    terms = order_terms(df, ranking + [SortKey(c) for c in tie_breaker or ()])
+    if tie_breaker:
+        return terms
+    if has_source_order(df):
+        return terms + [Term(F.col(SOURCE)[part]) for part in ("inputs", "file", "block", "row")]
+    return [*terms, Term(row_hash(column(df, c) for c in df.columns))]
 
 
 def sort_rows(
     df: DataFrame, keys, tie_breaker: Sequence[str] | None = None, max_rows: int | None = None
 ) -> DataFrame:
     """Globally sorted rows (range-partitioned, spilling)."""
-    order = sort_order(df, keys, tie_breaker)
+    order = [t.order for t in sort_order(df, keys, tie_breaker)]
     if max_rows is not None:
         require_at_most(df, max_rows, "sort.rows", "rows")
     return df.orderBy(*order)
 
 
-# Every task sends its best rows to the one that merges them, so only short lists go that way.
-TOP_LIST_ROWS = 2_000
-
-
 def top_rows(df: DataFrame, keys, count: int, tie_breaker: Sequence[str] | None = None) -> DataFrame:
     """The first ``count`` rows in sort order."""
-    return slice_rows(df.orderBy(*sort_order(df, keys, tie_breaker)), 0, count)
-
-
-def slice_rows(ordered: DataFrame, offset: int, count: int) -> DataFrame:
-    """Rows ``offset + 1`` to ``offset + count`` of an ordered DataFrame.
-
-    Near the top, each task keeps its own best rows and one task merges those lists. Further
-    down the ordered rows are numbered in place, so no task or driver holds what is skipped.
-    """
-    if offset + count <= TOP_LIST_ROWS:
-        return ordered.offset(offset).limit(count) if offset else ordered.limit(count)
-    numbered = number_rows(ordered, "__position")
-    return numbered.where(F.col("__position").between(offset + 1, offset + count)).drop("__position")
+    return slice_rows(df, sort_order(df, keys, tie_breaker), 0, count)
 
 
 def number_rows(ordered: DataFrame, name: str = "row_number") -> DataFrame:

@@ -42,3 +42,8 @@ def with_progress(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
         observation, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")
     )
     return watched, observation
+
+
+def progress_of(observation: Observation) -> dict[str, int] | None:
+    """What an observation counted, or None while no job that reads it has ended; never waits."""
+    return dict(observation.get) if observation._jo.future().isCompleted() else None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import TabularError
 from tablewright.functions.values import literal
-from tablewright.operators.sort import slice_rows
+from tablewright.operators.ranks import Term, slice_rows
 from tablewright.schema import column, field
 
 
@@ -38,12 +38,11 @@ def matching(
 def page(df: DataFrame, time_column: str, id_column: str, offset: int = 0, limit: int = 50) -> DataFrame:
     """Newest records first, ties by id descending, after skipping ``offset``.
 
-    Deep pages cost a distributed sort instead of a list in one task; see ``slice_rows``.
+    Pages after the first cost passes that count rows, instead of a sort of what is skipped; see ``slice_rows``.
     """
     if offset < 0 or limit < 1:
         raise TabularError("page.range", "the offset is at least 0 and the limit at least 1")
-    ordered = df.orderBy(column(df, time_column).desc(), column(df, id_column).desc())
-    return slice_rows(ordered, offset, limit)
+    return slice_rows(df, [Term(column(df, c), descending=True, nulls_first=False) for c in (time_column, id_column)], offset, limit)
 
 
 def total(df: DataFrame) -> DataFrame:

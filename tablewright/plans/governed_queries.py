@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.errors import TabularError
 from tablewright.governed.cells import normalise_cell
 from tablewright.governed.changes import (
     apply_changes,
@@ -15,11 +16,12 @@ from tablewright.governed.changes import (
     stage_changes,
     validate_changes,
 )
-from tablewright.governed.contract import ContractColumn, ForeignKey, TableContract, contract_for, project
+from tablewright.governed.contract import ContractColumn, ForeignKey, TableContract, contract_for, pinned, project
 from tablewright.governed.query import count_rows, keyset_page, where_contract
 from tablewright.governed.references import fk_lookup, fk_tuples, missing_fk, resolve_labels
 from tablewright.plans.tables import table
 from tablewright.plans.transform_queries import query
+from tablewright.schema import schema_drift
 
 ORDERS = TableContract(
     (
@@ -330,6 +332,30 @@ def apply_row_version(spark, folder):
     return outcome.state
 
 
+@query(
+    f"""
+    SELECT p.*, d.refused FROM (SELECT o_orderkey AS "orderKey", o_custkey AS customer, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS "orderDate" FROM orders) p,
+           (SELECT 'type o_totalprice: double -> decimal(20,2); removed o_orderpriority; added rank' AS refused) d
+    """
+)
+def read_under_pinned_contract(spark, folder):
+    """Rows are served while the table is what the contract was made for; after a change of columns nothing is."""
+    orders = table(spark, folder, "orders")
+    contract = pinned(ORDERS, orders)
+    changed = orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(20,2)")).withColumnRenamed("o_orderpriority", "rank")
+    refused = None
+    for attempt in (lambda: project(changed, contract), lambda: apply_changes(changed, valid_changes(spark, folder), contract)):
+        try:
+            attempt()
+        except TabularError as error:
+            assert "contract.schema_changed" in str(error)
+            drift = schema_drift(orders, changed)
+            refused = "; ".join(sorted(drift, key=lambda d: ("type", "removed", "added").index(d.split()[0])))
+        else:
+            raise AssertionError("a changed table was read")
+    return project(orders, contract).withColumn("refused", F.lit(refused))
+
+
 # --- several changes to one key -----------------------------------------------------------
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.values import TypedColumn
+from tablewright.sources.delimited import read_delimited
+from tablewright.session import scratch_path
 from tablewright.oplog.alerts import match_rules, render_template
 from tablewright.oplog.metrics import estimate_bytes
 from tablewright.oplog.pages import matching, page, total, with_label
@@ -280,3 +283,57 @@ def node_graph_totals(spark, folder):
     table(spark, folder, "orders")
     run = run_nodes(spark, flagship_graph(folder.rstrip("/")), {"factor": 3})
     return run.frames["sorted"]
+
+
+def bound_graph(folder: str, output: str) -> dict:
+    """Orders above a looked-up balance, derived by a function and written through bindings."""
+    return {
+        "variables": [
+            {"name": "least", "type": "double", "lookup": {"path": f"{folder}/customer.parquet", "value": "c_acctbal", "filter": "c_custkey", "equals": 1}},
+            {"name": "mark", "type": "string", "value": "checked"},
+        ],
+        "functions": [{"name": "share_of", "parameters": {"part": "double", "whole": "double"}, "returns": "double", "expression": "round(part / (whole + 1), 2)"}],
+        "nodes": [
+            {"id": "orders", "kind": "parquetSource", "settings": {"path": f"{folder}/orders.parquet"}},
+            {"id": "urgent", "kind": "filterRows", "settings": {"conditions": [{"column": "o_orderpriority", "operator": "equals", "value": "1-URGENT"}]}},
+            {"id": "shared", "kind": "deriveColumns", "settings": {"columns": [
+                {"name": "share", "expression": "share_of(o_totalprice, abs(vars.least))", "type": "double"}, {"name": "kind", "expression": "lower(o_orderstatus)", "type": "string"}]}},
+            {"id": "written", "kind": "csvTarget", "settings": {"path": output, "columns": "id bigint, share double, kind string, mark string", "bindings": {
+                "id": {"column": "o_orderkey"}, "share": {"column": "share"}, "kind": {"expression": "concat(kind, '-', o_orderstatus)"}, "mark": {"variable": "mark"}}}},
+        ],
+        "edges": [{"from": "orders", "to": "urgent"}, {"from": "urgent", "to": "shared"}, {"from": "shared", "to": "written"}],
+    }
+
+
+@query(
+    """
+    SELECT o_orderkey AS id, round(o_totalprice / (abs(c_acctbal) + 1), 2) AS share, lower(o_orderstatus) || '-' || o_orderstatus AS kind, 'checked' AS mark
+    FROM orders, (SELECT c_acctbal FROM customer WHERE c_custkey = 1) WHERE o_orderpriority = '1-URGENT'
+    """
+)
+def node_graph_bindings(spark, folder):
+    """A graph with a looked-up variable, a function and bindings; its target, read back."""
+    table(spark, folder, "orders")
+    output = scratch_path(spark, "graph-out")
+    run = run_nodes(spark, bound_graph(folder.rstrip("/"), output))
+    assert set(run.status.values()) == {"Succeeded"}, run.errors
+    columns = [TypedColumn("id", "int64"), TypedColumn("share", "double"), TypedColumn("kind"), TypedColumn("mark")]
+    return read_delimited(spark, output, columns=columns)
+
+
+SIZE = "8 + 8 + strlen(o_orderstatus) + 8 + 16 + strlen(o_orderpriority)"
+
+
+@query(
+    f"""
+    SELECT 'orders' AS node, count(*) AS rows, sum({SIZE})::BIGINT AS bytes FROM orders
+    UNION ALL SELECT 'urgent', count(*), sum({SIZE})::BIGINT FROM orders WHERE o_orderpriority = '1-URGENT'
+    UNION ALL SELECT 'shared', count(*), sum({SIZE} + 8 + 1)::BIGINT FROM orders WHERE o_orderpriority = '1-URGENT'
+    UNION ALL SELECT 'written', count(*), sum({SIZE} + 8 + 1)::BIGINT FROM orders WHERE o_orderpriority = '1-URGENT'
+    """
+)
+def node_graph_progress(spark, folder):
+    """Rows and estimated bytes that each node of a run gave, counted while its target was written."""
+    table(spark, folder, "orders")
+    run = run_nodes(spark, bound_graph(folder.rstrip("/"), scratch_path(spark, "graph-out")), progress=True)
+    return spark.createDataFrame([(n, p["rows"], p["bytes"]) for n, p in run.progress.items()], "node string, rows long, bytes long")

@@ -15,6 +15,7 @@ from tablewright.operators.filter import filter_rows
 from tablewright.operators.join import join
 from tablewright.operators.project import derive_columns, select_columns
 from tablewright.operators.sort import number_rows, sort_rows, top_rows
+from tablewright.operators.source_order import with_source_order, without_source_order
 from tablewright.operators.union import union_rows
 from tablewright.plans.tables import table
 
@@ -436,6 +437,29 @@ def sort_multi_key(spark, folder):
     return number_rows(sort_rows(orders_with_nulls(spark, folder), keys, ["o_orderkey"]), "position")
 
 
+@query(
+    """
+    SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority DESC, input, place) AS position FROM (
+        SELECT o_orderkey, o_orderpriority, 0 AS input, row_number() OVER () AS place FROM orders
+        UNION ALL SELECT -o_orderkey, o_orderpriority, 1, row_number() OVER () FROM orders WHERE o_orderstatus = 'F')
+    """
+)
+def sort_stable_union(spark, folder):
+    """Orders alike in the sort key keep the order of the file, the second input's after the first's."""
+    orders = with_source_order(table(spark, folder, "orders"))
+    again = filter_rows(orders, [{"column": "o_orderstatus", "operator": "equals", "value": "F"}])
+    both = union_rows([select_columns(orders, ["o_orderkey", "o_orderpriority"]), select_columns(again.withColumn("o_orderkey", -F.col("o_orderkey")), ["o_orderkey", "o_orderpriority"])])
+    ordered = sort_rows(both, [{"column": "o_orderpriority", "direction": "descending"}])
+    return number_rows(without_source_order(ordered), "position")
+
+
+@query("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER () AS place FROM orders) ORDER BY o_custkey, place")
+def distinct_first_in_file(spark, folder):
+    """Of each customer's orders the one that the file holds first."""
+    orders = select_columns(with_source_order(table(spark, folder, "orders")), ["o_custkey", "o_orderkey", "o_orderstatus"])
+    return without_source_order(distinct_rows(orders, ["o_custkey"]))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def sort_top_rows(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import TabularError
-from tablewright.functions.values import TypedColumn, parse_text, typed_columns
+from tablewright.functions.values import TypedColumn, fail, parse_text, typed_columns
 from tablewright.schema import check_names, quoted
 from tablewright.sources.records import quoted_records
 
@@ -86,7 +86,7 @@ def read_delimited(
     if has_header:
         found = F.array(*[F.lower(F.trim(F.coalesce(f"cells._{i}", F.lit("")))) for i in range(len(typed))])
         wanted = F.array(*[F.lit(c.name.lower()) for c in typed])
-        wrong = F.raise_error(F.lit("file.header.mismatch: a file's header does not match the columns")).cast("boolean")
+        wrong = fail("file.header.mismatch", "a file's header does not match the columns").cast("boolean")
         # A header record is left out, or fails the job when it is not the expected one.
         cells = cells.where(F.when(~F.col("head"), True).when(found == wanted, False).otherwise(wrong))
     return cells.select(*[_cell(F.col(f"cells._{i}"), c).alias(c.name) for i, c in enumerate(typed)])

@@ -13,14 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablewright.functions.values import fail
+
 QUOTE = '"'
-STRAY = "file.quotes: a quote stands inside an unquoted value, or text follows a closing quote"
-UNCLOSED = "file.quotes: a file ends inside a quoted value"
-BROKEN = "file.line_break: a quoted value holds a line break"
+STRAY = ("file.quotes", "a quote stands inside an unquoted value, or text follows a closing quote")
+UNCLOSED = ("file.quotes", "a file ends inside a quoted value")
+BROKEN = ("file.line_break", "a quoted value holds a line break")
 
 
-def _fail_if(condition: Column, text: str, otherwise: Column, kind: str) -> Column:
-    return F.when(condition, F.raise_error(F.lit(text)).cast(kind)).otherwise(otherwise)
+def _fail_if(condition: Column, text: tuple[str, str], otherwise: Column, kind: str) -> Column:
+    return F.when(condition, fail(*text).cast(kind)).otherwise(otherwise)
 
 
 def _ill_formed(value: Column, delimiter: str, within: Column) -> Column:

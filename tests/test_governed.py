@@ -15,7 +15,7 @@ from tablewright.governed.changes import (
     typed_changes,
     validate_changes,
 )
-from tablewright.governed.contract import ContractColumn, ForeignKey, TableContract, project
+from tablewright.governed.contract import ContractColumn, ForeignKey, TableContract, pinned, project, table_fingerprint
 from tablewright.governed.query import (
     count_rows,
     decode_cursor,
@@ -432,3 +432,18 @@ def test_two_references_in_one_pass(spark):
     assert outcome.status == "Conflict" and outcome.state is old
     whole = {"t": spark.createDataFrame([(0,), (1,), (2,)], "k int"), "u": u.union(spark.createDataFrame([("y", 3)], u.schema))}
     assert apply_changes(old, changes, contract, references=whole).state.count() == 24
+
+
+def test_a_pinned_contract_refuses_another_schema(spark):
+    target = stored(spark, [(1, "a", None, None, None)])
+    contract = pinned(EDIT, target)
+    assert project(target, contract).count() == 1
+    frame = spark.createDataFrame([GOOD[0]], "op string, key_json string, before_json string, after_json string")
+    changes = typed_changes(frame, EDIT)
+    assert apply_changes(target, changes, contract).status == "Applied"
+    places = spark.createDataFrame([], "r int, s int")
+    for changed in (target.withColumn("r1", F.col("r1").cast("long")), target.drop("stamp"), target.select("name", "id", "r1", "r2", "stamp"), target.withColumn("more", F.lit(1))):
+        for refused in (lambda: project(changed, contract), lambda: apply_changes(changed, changes, contract), lambda: stage_changes(frame, contract, {"Places": places}, changed)):  # noqa: B023
+            with pytest.raises(TabularError, match="contract.schema_changed"):
+                refused()
+    assert table_fingerprint(target, EDIT) != table_fingerprint(target, TableContract(EDIT.columns[:2]))

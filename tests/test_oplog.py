@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.errors import TabularError
-from tablewright.operators import sort
+from tablewright.operators import ranks
 from tablewright.oplog.alerts import check_template, match_rules, render_template
 from tablewright.oplog.pages import matching, page, total, with_label
 from tablewright.oplog.steps import TOTALS, block_width, carried, event_problems, fold_events, status_rollup
@@ -175,7 +175,7 @@ def test_pages_and_search(spark, monkeypatch):
     want = sorted((r[0] for r in data if r[2] == "ok"), key=lambda i: (i % 10, i), reverse=True)
     found = matching(df, {"outcome": "ok"})
     assert [r["id"] for r in page(found, "at", "id", 20, 15).collect()] == want[20:35]
-    monkeypatch.setattr(sort, "TOP_LIST_ROWS", 10)
+    monkeypatch.setattr(ranks, "NEAR", 10)
     assert sorted(r["id"] for r in page(found, "at", "id", 20, 15).collect()) == sorted(want[20:35])
     assert total(found).first()[0] == len(want)
     ranged = matching(df, time_column="at", from_time=START + timedelta(hours=2), to_time=START + timedelta(hours=3))

@@ -1,6 +1,7 @@
 """Inline-row cases for the relational operators."""
 
 import math
+import random
 from datetime import datetime
 from decimal import Decimal
 
@@ -297,3 +298,64 @@ def test_number_rows_is_dense_over_many_partitions(spark):
     df = spark.range(0, 1000, numPartitions=7).select((F.col("id") * 37 % 1000).alias("v"), F.lit("hot").alias("k"))
     numbered = number_rows(sort_rows(df, ["k", "v"]), "n")
     assert sorted((r["v"], r["n"]) for r in numbered.collect()) == [(i, i + 1) for i in range(1000)]
+
+
+def sorted_in_python(rows, descending, nulls_first):
+    """By a (NaN lowest), then b descending with nulls last, then the unique id."""
+    def value(x, nulls_first, descending):
+        if x is None:
+            return (0 if nulls_first else 2, 0)
+        number = -math.inf if x != x else x
+        return (1, -number if descending else number)
+
+    return sorted(rows, key=lambda r: (value(r[0], nulls_first, descending), value(r[1], False, True), r[2]))
+
+
+@pytest.mark.parametrize(("pivots", "descending", "nulls_first"), [(63, False, True), (3, True, True), (1, False, False)])
+def test_slices_equal_a_sorted_list(spark, monkeypatch, pivots, descending, nulls_first):
+    from tablewright.operators import ranks
+    from tablewright.operators.sort import SortKey, order_terms
+
+    monkeypatch.setattr(ranks, "PIVOTS", pivots)
+    monkeypatch.setattr(ranks, "NEAR", pivots if pivots < 5 else 5_000)
+    rng = random.Random(pivots)
+    rows = [(rng.choice([None, float("nan"), 0.0, 1.5, -2.0]), rng.choice([None, 1, 2]), i) for i in range(90)]
+    df = spark.createDataFrame(rows, "a double, b int, id int").repartition(5)
+    terms = order_terms(df, [SortKey("a", descending, nulls_first), SortKey("b", True, False), SortKey("id")])
+    want = [r[2] for r in sorted_in_python(rows, descending, nulls_first)]
+    for offset, count in ((0, 7), (1, 1), (40, 13), (85, 50), (89, 1), (90, 5), (500, 2)):
+        out = ranks.slice_rows(df, terms, offset, count)
+        assert [r["id"] for r in out.collect()] == want[offset : offset + count], (offset, count)
+
+
+def test_slices_of_equal_rows_and_times(spark):
+    from datetime import datetime
+
+    from tablewright.operators.ranks import Term, slice_rows
+
+    df = spark.createDataFrame([(1, i) for i in range(50)], "a int, id int").repartition(4)
+    first, rest = (slice_rows(df, [Term(F.col("a"))], a, n).collect() for a, n in ((10, 15), (25, 100)))
+    assert len(first) == 15 and len(rest) == 25 and not {r["id"] for r in first} & {r["id"] for r in rest}
+    moments = [datetime(2024, 1, 1, 0, 0, 0, i) for i in range(40)]
+    for kind in ("timestamp_ntz", "timestamp", "date"):
+        stamped = spark.createDataFrame([(m, str(m)) for m in moments], "t timestamp_ntz, s string").withColumn("t", F.col("t").cast(kind))
+        got = slice_rows(stamped, [Term(F.col("t"), True, False), Term(F.col("s"))], 5, 10).collect()
+        order = sorted(map(str, moments), reverse=kind != "date")
+        assert [r["s"] for r in got] == order[5:15]
+
+
+def test_source_order_goes_through_operators(spark, tmp_path):
+    from tablewright.operators.source_order import SOURCE, with_source_order, without_source_order
+
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 2), i) for i in range(60)]
+    spark.createDataFrame(rows, "k int, i int").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = with_source_order(spark.read.parquet(str(tmp_path / "t")))
+    picked = select_columns(filter_rows(df, [{"column": "i", "operator": "greaterThan", "value": "4"}]), ["k", "i"])
+    assert [tuple(r) for r in without_source_order(sort_rows(picked, ["k"])).collect()] == sorted((r for r in rows if r[1] > 4), key=lambda r: r[0])
+    both = union_rows([picked, df])
+    assert [tuple(r)[:2] for r in sort_rows(both, ["k"]).collect()] == sorted([r for r in rows if r[1] > 4] + rows, key=lambda r: r[0])
+    first = {r["k"]: r["i"] for r in distinct_rows(both, ["k"]).collect()}
+    assert first == {k: next(i for a, i in rows if a == k and i > 4) for k in (0, 1, 2)}
+    assert without_source_order(distinct_rows(both)).count() == 60
+    assert SOURCE not in join(df, df, ["i"], ["i"]).columns and SOURCE not in union_rows([both.drop(SOURCE), df]).columns
