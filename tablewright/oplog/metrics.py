@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -44,6 +45,14 @@ def with_progress(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return watched, observation
 
 
-def progress_of(observation: Observation) -> dict[str, int] | None:
-    """What an observation counted, or None while no job that reads it has ended; never waits."""
-    return dict(observation.get) if observation._jo.future().isCompleted() else None
+def progress_of(observation: Observation, seconds: float = 0) -> dict[str, int] | None:
+    """What an observation counted, or None while no job that reads it has ended.
+
+    Spark reports a job's counts a moment after it has ended; ``seconds`` is how long to wait for that.
+    """
+    until = time.monotonic() + seconds
+    while not observation._jo.future().isCompleted():
+        if time.monotonic() >= until:
+            return None
+        time.sleep(0.02)
+    return dict(observation.get)

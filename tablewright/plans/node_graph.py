@@ -51,6 +51,7 @@ TARGETS: dict[str, Callable] = {
     "publishedTarget": mutate_table,
 }
 MAX_NODES, MAX_EDGES = 200, 1000
+REPORT_SECONDS = 5.0
 
 
 # A node's own failures; anything else is a fault of the program and goes up.
@@ -146,7 +147,8 @@ def run_nodes(spark: SparkSession, spec: Mapping, variables: Mapping[str, object
         for frame in kept:
             frame.unpersist()
     for name, seen in watched.items():
-        counted = [p for o in seen if (p := progress_of(o)) is not None]
+        ran = any(run.status[t] == "Succeeded" for t in readers[name])
+        counted = [p for o in seen if (p := progress_of(o, REPORT_SECONDS if ran else 0)) is not None]
         if run.status[name] == "Succeeded" and counted:
             run.progress[name] = {k: sum(c[k] for c in counted) for k in ("rows", "bytes")}
     return run
