@@ -19,6 +19,7 @@ from tablewright.session import scratch_path
 from tablewright.sources.delimited import read_delimited, read_tab_delimited
 from tablewright.sources.workbook import workbook_rows
 from tablewright.targets.delimited import render_path, write_delimited
+from tablewright.targets.published import mutate_published, publish_state, read_published
 from tablewright.targets.mutations import (
     bind_columns,
     delete_keys,
@@ -229,13 +230,45 @@ def publish_table_state(spark, folder):
     """
 )
 def mutate_published_table(spark, folder):
-    """One published table after an upsert, a delete and an insert."""
+    """One published table after an upsert, a delete and an insert; each rewrites the files it touches only."""
+    buyers, root = table(spark, folder, "customer"), scratch_path(spark, "customer-table")
+    publish_state(buyers.select("c_custkey", "c_mktsegment", "c_acctbal"), root)
+    mutate_published(_edits(spark, folder), root, "upsert", ["c_custkey"])
+    mutate_published(buyers.where("c_nationkey = 5"), root, "delete", ["c_custkey"], {"c_custkey": {"column": "c_custkey"}})
+    suppliers = table(spark, folder, "supplier")
+    bindings = {"c_custkey": {"expression": "s_suppkey + 1000000"}, "c_mktsegment": {"variable": "segment"}}
+    mutate_published(suppliers, root, "insert", [], bindings, {"segment": "SUPPLIER"})
+    return read_published(spark, root)
+
+
+@query(
+    f"""
+    SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM {EDITS}) AND c_nationkey <> 5
+    UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal FROM {EDITS}
+    WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5)
+    """
+)
+def mutate_catalog_table(spark, folder):
+    """The same edits of a table that the catalog points at, which are whole new states."""
     buyers, root = table(spark, folder, "customer"), scratch_path(spark, "customer-table")
     name = "published_" + root.rsplit("-", 1)[-1]
     publish_table(spark, name, buyers.select("c_custkey", "c_mktsegment", "c_acctbal"), root)
     mutate_table(_edits(spark, folder), name, root, "upsert", ["c_custkey"])
     mutate_table(buyers.where("c_nationkey = 5"), name, root, "delete", ["c_custkey"], {"c_custkey": {"column": "c_custkey"}})
-    suppliers = table(spark, folder, "supplier")
-    bindings = {"c_custkey": {"expression": "s_suppkey + 1000000"}, "c_mktsegment": {"variable": "segment"}}
-    mutate_table(suppliers, name, root, "insert", [], bindings, {"segment": "SUPPLIER"})
     return spark.table(name)
+
+
+@query(
+    """
+    SELECT doc_id, text, lang FROM documents
+    """
+)
+def csv_mixed_line_ends(spark, folder):
+    """Whole texts in files whose records end with LF or CRLF in turn; line breaks inside quotes stay."""
+    documents = table(spark, folder, "documents").where("text IS NOT NULL")
+    cells = F.concat(F.col("doc_id").cast("string"), F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('",'), F.coalesce("lang", F.lit("")))
+    lines = documents.select(F.concat(cells, F.when(F.col("doc_id") % 2 == 0, "\r").otherwise("")).alias("value"))
+    path = scratch_path(spark, "mixed-csv")
+    lines.write.text(path)
+    columns = [TypedColumn("doc_id", "int64", False), TypedColumn("text"), TypedColumn("lang")]
+    return read_delimited(spark, path, has_header=False, columns=columns)

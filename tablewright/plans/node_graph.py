@@ -28,9 +28,11 @@ from tablewright.sources.workbook import read_workbooks
 from tablewright.targets.delimited import render_path, write_delimited
 from tablewright.targets.jdbc import write_table
 from tablewright.targets.mutations import TargetColumn, bind_columns, mutate_table
+from tablewright.targets.published import mutate_published, read_published
 
 SOURCES: dict[str, Callable[..., DataFrame]] = {
     "parquetSource": lambda spark, path: spark.read.parquet(path),
+    "publishedSource": lambda spark, root: read_published(spark, root),
     "csvSource": read_delimited,
     "tableSource": read_table,
     "workbookSource": read_workbooks,
@@ -49,6 +51,7 @@ TARGETS: dict[str, Callable] = {
     "csvTarget": write_delimited,
     "tableTarget": write_table,
     "publishedTarget": mutate_table,
+    "publishedFilesTarget": mutate_published,
 }
 MAX_NODES, MAX_EDGES = 200, 1000
 REPORT_SECONDS = 5.0
@@ -212,7 +215,7 @@ def _build(spark: SparkSession, node: Mapping, frames: Sequence[DataFrame], vari
         raise TabularError("graph.inputs", "a target takes one input")
     if kinds is TARGETS and "path" in settings:
         settings["path"] = "/".join(render_path(part, variables) if "{" in part else part for part in settings["path"].split("/"))
-    if kind in ("deriveColumns", "publishedTarget"):
+    if kind in ("deriveColumns", "publishedTarget", "publishedFilesTarget"):
         settings["variables"] = variables
     if kind in ("tableTarget", "csvTarget") and ("columns" in settings or "bindings" in settings):
         frames = [_bound(frames[0], settings, variables)]

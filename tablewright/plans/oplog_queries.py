@@ -216,7 +216,7 @@ def match_rules_streamed(spark, folder):
     schema = table(spark, folder, "events").schema
     runs = finished_runs(read_stream(spark, folder, schema, "events.parquet"))
     twice = runs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    matched = match_rules_stream(twice, customer_rules(spark, folder), collapse_copies=True)
+    matched = match_rules_stream(twice, customer_rules(spark, folder))
     return deliver_available(matched, "deliveries").drop("completed_at")
 
 

@@ -28,8 +28,19 @@ def _options(delimiter: str, embedded_newlines: bool) -> dict[str, str]:
     }
 
 
-def first_record(spark: SparkSession, path: str, delimiter: str = ",", embedded_newlines: bool = True) -> list[str]:
+def committed(spark: SparkSession, path: str | Sequence[str]) -> str | list[str]:
+    """The files that count, where a folder has commits."""
+    from tablewright.targets.commits import latest
+
+    if not isinstance(path, str):
+        return list(path)
+    state = latest(spark, path)
+    return [f"{path.rstrip('/')}/{f}" for f in state.files] if state.files else path
+
+
+def first_record(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",", embedded_newlines: bool = True) -> list[str]:
     """The first record of the first file; one record reaches the driver."""
+    path = committed(spark, path)
     head = spark.read.options(**_options(delimiter, embedded_newlines)).csv(path).limit(1).collect()
     if not head:
         raise TabularError("file.empty", "the delimited input is empty")
@@ -38,7 +49,7 @@ def first_record(spark: SparkSession, path: str, delimiter: str = ",", embedded_
 
 def delimited_schema(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     has_header: bool = True,
     delimiter: str = ",",
     columns: Sequence[TypedColumn | dict] | None = None,
@@ -65,19 +76,22 @@ def delimited_schema(
 
 def read_delimited(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     has_header: bool = True,
     delimiter: str = ",",
     columns: Sequence[TypedColumn | dict] | None = None,
     embedded_newlines: bool = True,
     max_columns: int = 1024,
 ) -> DataFrame:
-    """A file or folder of quoted text; every file must carry the same header.
+    """A file, a folder or several files of quoted text; every file must carry the same header.
+
+    Of a folder that ``write_delimited`` made the files of its newest commit are read.
 
     Ragged rows, misplaced quotes and values that do not fit their type fail the job. Files of every size and with
     either line end are read in blocks (see ``records``), at the cost of one shuffle of the lines; line breaks inside
     quotes stay as they are, or fail the job with ``embedded_newlines=False``.
     """
+    path = committed(spark, path)
     typed, _ = delimited_schema(spark, path, has_header, delimiter, columns, embedded_newlines, max_columns)
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(typed))])
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "FAILFAST", "columnPruning": "false"}
@@ -99,6 +113,6 @@ def _cell(text, column: TypedColumn):
     return parse_text(text, column.type, column.nullable, column.name, scale=column.scale)
 
 
-def read_tab_delimited(spark: SparkSession, path: str, **options) -> DataFrame:
+def read_tab_delimited(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
     """``read_delimited`` with the tab format."""
     return read_delimited(spark, path, delimiter="\t", **options)

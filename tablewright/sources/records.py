@@ -38,7 +38,7 @@ def _ill_formed(value: Column, delimiter: str, within: Column) -> Column:
     return F.exists(F.zip_with(pieces, F.sequence(F.lit(0), last), wrong), lambda x: x)
 
 
-def quoted_records(spark: SparkSession, path: str, delimiter: str = ",", embedded_newlines: bool = True) -> DataFrame:
+def quoted_records(spark: SparkSession, path: str | list[str], delimiter: str = ",", embedded_newlines: bool = True) -> DataFrame:
     """One row per record: ``record`` (line breaks inside quotes kept) and ``head``, set on the first record of each file.
 
     Blank lines are skipped. Reading fails on a quote inside an unquoted value, on text after a closing quote, on a

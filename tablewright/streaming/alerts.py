@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,46 +12,43 @@ from tablewright.oplog.alerts import TRIGGERS, delivery_key, rule_triggers
 from tablewright.session import scratch_path
 
 
-def _without_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.drop_duplicates("delivery_key")
-
-
-def match_rules_stream(runs: DataFrame, rules: DataFrame, collapse_copies: bool = False) -> DataFrame:
+def match_rules_stream(runs: DataFrame, rules: DataFrame) -> DataFrame:
     """A candidate delivery per rule, run and terminal event, as runs arrive, copies included.
 
     Whether a delivery was made before is for ``deliver_available`` to say; no watermark drops late runs.
-    ``collapse_copies`` removes copies within Arrow batches, for logs in which one event is repeated very
-    often.
     """
     timed = runs.where(F.col("status").isin(*TRIGGERS)).withColumn("completed_at", F.col("completed_at").cast("timestamp"))
     triggers = rule_triggers(rules)
     hit = (timed["workflow_id"] == triggers["rule_workflow_id"]) & (timed["status"] == triggers["rule_status"])
-    matched = timed.join(triggers, hit, "inner").select(
+    return timed.join(triggers, hit, "inner").select(
         "rule_id", "run_id", "workflow_id", "status", "completed_at",
         delivery_key(F.col("rule_id"), F.col("run_id"), F.col("status")).alias("delivery_key"),
     )
-    return matched.mapInPandas(_without_copies, matched.schema) if collapse_copies else matched
 
 
 def deliver_available(matched: DataFrame, label: str, output: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Make each delivery of a stream once, whatever order and however late its runs arrive.
 
-    A micro-batch drops the keys that earlier batches delivered and writes the rest into a folder of its
-    own, so a batch that is run again replaces what it wrote. Of copies in one batch the earliest stays.
+    A micro-batch drops the keys that other batches delivered and writes the rest into a folder of its own, named
+    after the checkpoint and its number, so a batch that is run again replaces what it wrote and nothing else. A later
+    run into the same ``output``, with this checkpoint or another, adds to what was delivered. Of copies in one batch
+    the earliest stays.
     """
     spark = matched.sparkSession
     output = output or scratch_path(spark, f"{label}-out")
+    checkpoint = checkpoint or scratch_path(spark, f"{label}-log")
+    log = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
 
     def deliver(batch: DataFrame, number: int) -> None:
         first = F.min(F.struct("completed_at", *[c for c in batch.columns if c not in ("completed_at", "delivery_key")])).alias("first")
         rows = batch.groupBy("delivery_key").agg(first).select(*[F.col("delivery_key") if c == "delivery_key" else F.col(f"first.{c}") for c in batch.columns])
-        made = _delivered(batch.sparkSession, output, matched).where(F.col("batch") != number).select("delivery_key")
-        rows.join(made, "delivery_key", "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        own = f"{log}-{number}"
+        made = _delivered(batch.sparkSession, output, matched).where(F.col("batch") != own).select("delivery_key")
+        rows.join(made, "delivery_key", "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{output}/batch={own}")
 
     query = (
         matched.writeStream.foreachBatch(deliver)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, f"{label}-log"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
@@ -63,4 +59,4 @@ def deliver_available(matched: DataFrame, label: str, output: str | None = None,
 def _delivered(spark: SparkSession, output: str, matched: DataFrame) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(output)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    return spark.read.schema(T.StructType([*matched.schema.fields, T.StructField("batch", T.LongType())])).parquet(output)
+    return spark.read.schema(T.StructType([*matched.schema.fields, T.StructField("batch", T.StringType())])).parquet(output)

@@ -14,6 +14,7 @@ from tablewright.errors import TabularError
 from tablewright.functions.values import TypedColumn, to_text
 from tablewright.schema import quoted
 from tablewright.sources.delimited import first_record, read_delimited
+from tablewright.targets.commits import Commit, commit, file_names, hadoop_path, latest
 
 # Characters no variable may put into a file name, and the length bounds.
 UNSAFE = set('<>:"/\\|?*')
@@ -31,8 +32,9 @@ def write_delimited(
 ) -> str:
     """Write a folder of part files in invariant text form.
 
-    ``createNew`` fails when the target exists, ``append`` needs a matching header, and
-    ``replace`` swaps the new content in only after all of it is written.
+    ``createNew`` fails when the target exists, ``append`` needs a matching header, and ``replace`` puts new content
+    in place of the old. What counts as the target's content is what its newest commit lists (see ``commits``), which
+    ``read_delimited`` follows: new files count once all of them are written, and replaced ones go after that.
     """
     spark = df.sparkSession
     if mode not in ("createNew", "append", "replace"):
@@ -50,54 +52,57 @@ def write_delimited(
     )
     if compression:
         writer = writer.option("compression", compression)
+    base, before = latest(spark, path), file_names(spark, path)
+    notes = {"columns": len(df.columns), "header": [c.lower() for c in df.columns] if header else None, "delimiter": delimiter}
     if mode == "append" and _exists(spark, path):
-        _check_appendable(df, path, header, delimiter)
+        _check_appendable(df, path, header, delimiter, base, before)
         writer.mode("append").csv(path)
+        # Files that nobody listed are part of the target once they are checked.
+        kept = before
     elif mode == "replace" and _exists(spark, path):
-        staged = f"{path.rstrip('/')}.staged-{datetime.now():%Y%m%d%H%M%S%f}"
-        writer.mode("errorifexists").csv(staged)
-        _swap(spark, staged, path)
+        if not base.number:
+            # A folder that was not written here: its files count until the new ones are there.
+            base = commit(spark, path, base, before, {})
+        writer.mode("append").csv(path)
+        kept = []
     else:
         writer.mode("errorifexists").csv(path)
+        base, kept = latest(spark, path), []
+    files = [*kept, *[f for f in file_names(spark, path) if f not in set(before)]]
+    commit(spark, path, base, files, notes)
+    if mode == "replace":
+        for name in set(before) - set(files):
+            old, fs = hadoop_path(spark, f"{path.rstrip('/')}/{name}")
+            fs.delete(old, False)
     return path
 
 
-def _check_appendable(df: DataFrame, path: str, header: bool, delimiter: str) -> None:
+def _check_appendable(df: DataFrame, path: str, header: bool, delimiter: str, base: Commit, files: list[str]) -> None:
+    """The listed files were checked when they were listed; only files that came otherwise are read."""
     spark = df.sparkSession
+    if base.number and base.notes:
+        if base.notes["delimiter"] != delimiter or (base.notes["header"] is None) == header or (header and base.notes["header"] != [c.lower() for c in df.columns]):
+            raise TabularError("file.header.mismatch", "the existing header or delimiter does not match the input")
+        if base.notes["columns"] != len(df.columns):
+            raise TabularError("file.columns", f"the target has {base.notes['columns']} columns")
+    new = [f"{path.rstrip('/')}/{f}" for f in files if f not in set(base.files if base.notes else ())]
+    if not new:
+        return
     if header:
-        found = [n.strip().lower() for n in first_record(spark, path, delimiter)]
+        found = [n.strip().lower() for n in first_record(spark, new, delimiter)]
         if found != [c.lower() for c in df.columns]:
             raise TabularError("file.header.mismatch", "the existing header does not match the input")
     # Every existing record must have the same arity; FAILFAST stops at the first that has not.
-    found = read_delimited(spark, path, header, delimiter, columns=None if header else [TypedColumn(c) for c in df.columns])
+    found = read_delimited(spark, new, header, delimiter, columns=None if header else [TypedColumn(c) for c in df.columns])
     # A count alone would not parse the records.
     found.agg(*[F.max(F.length(found[quoted(c)])) for c in found.columns]).collect()
 
 
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
-    target, fs = _filesystem(spark, path)
+    target, fs = hadoop_path(spark, path)
     return fs.exists(target)
 
 
-def _swap(spark: SparkSession, staged: str, path: str) -> None:
-    """Put the staged folder in place; the old one stays until the new one is there."""
-    target, fs = _filesystem(spark, path)
-    fresh, _ = _filesystem(spark, staged)
-    old, _ = _filesystem(spark, staged + ".old")
-    if not fs.rename(target, old):
-        raise OSError(f"cannot move {path} aside")
-    if not fs.rename(fresh, target):
-        fs.rename(old, target)
-        raise OSError(f"cannot move {staged} into place")
-    fs.delete(old, True)
-
-
 def render_path(template: str, variables: Mapping[str, object]) -> str:
     """A target path from ``{name}`` and ``{name:format}`` placeholders over run variables."""
     if not template.strip() or len(template) > MAX_PATH or any(ord(c) < 32 for c in template):

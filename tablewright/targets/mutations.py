@@ -13,6 +13,7 @@ from tablewright.errors import TabularError
 from tablewright.functions.variables import as_column
 from tablewright.operators.project import with_variables
 from tablewright.schema import actual_name, check_names, column, quoted
+from tablewright.session import dropped, written
 
 
 @dataclass(frozen=True)
@@ -217,16 +218,21 @@ def mutate_table(
 ) -> None:
     """Insert into, upsert into or delete from a published table, all or nothing.
 
-    An insert appends files in one committed job; the other modes publish a new state.
+    An insert appends files in one committed job; the other modes publish a new state, the whole table anew. Tables
+    whose changes should cost what they touch are kept as ``published`` files.
     """
     spark = source.sparkSession
     target = spark.table(table)
+    if mode not in ("insert", "upsert", "delete"):
+        raise TabularError("target.mode", f"unknown mode '{mode}'")
     bound = bind_columns(source, target_columns(target, keys), bindings, variables, mode, keys)
     if mode == "insert":
         aligned(target, bound).write.insertInto(table)
-    elif mode == "upsert":
-        publish_table(spark, table, upsert(target, bound, keys), root)
-    elif mode == "delete":
-        publish_table(spark, table, delete_keys(target, bound, keys), root)
-    else:
-        raise TabularError("target.mode", f"unknown mode '{mode}'")
+        return
+    # Checked and applied from one copy: a source need not give the same rows twice.
+    staged = written(bound, "staged")
+    try:
+        change = upsert if mode == "upsert" else delete_keys
+        publish_table(spark, table, change(target, staged, keys), root)
+    finally:
+        dropped(staged)

@@ -17,7 +17,9 @@ from tablewright.functions.values import TypedColumn
 from tablewright.sources.delimited import read_delimited, read_tab_delimited
 from tablewright.sources.jdbc import database_kind, qualified_name, quote_identifier
 from tablewright.sources.workbook import parse_range, read_workbooks
+from tablewright.targets.commits import commit, latest
 from tablewright.targets.delimited import render_path, write_delimited
+from tablewright.targets.published import mutate_published, publish_state, read_published, sweep
 from tablewright.targets.jdbc import mutation_statements
 from tablewright.targets.mutations import (
     TargetColumn,
@@ -394,3 +396,92 @@ def test_mutate_published_table(spark, tmp_path):
         mutate_table(edits.withColumn("NAME", F.raise_error(F.lit("no")).cast("string")), "mut_case", root)
     assert content() == [(1, "a", 9), (20, None, None), (3, "C", None)]
     spark.sql("DROP TABLE mut_case")
+
+
+def test_published_files_that_are_not_touched_stay(spark, tmp_path):
+    root = str(tmp_path / "root")
+    first = publish_state(spark.range(0, 400, 1, 4).selectExpr("id", "'n' || id AS name", "id % 3 AS extra"), root)
+    assert len(first.files) == 4
+    old = read_published(spark, root)
+    edits = spark.createDataFrame([(5, "five"), (7, "seven"), (1000, "new")], "ID long, NAME string")
+    second = mutate_published(edits, root, "upsert", ["id"])
+    assert len(set(first.files) & set(second.files)) == 3
+    now = {r["id"]: tuple(r)[1:] for r in read_published(spark, root).collect()}
+    assert len(now) == 401 and now[5] == ("five", 2) and now[1000] == ("new", None) and now[6] == ("n6", 0)
+    assert old.where("id = 5").first()["name"] == "n5"  # a reader keeps its state
+    third = mutate_published(edits.select("ID").where("ID = 350"), root, "delete", ["id"])
+    assert third == second  # nothing to do
+    third = mutate_published(spark.createDataFrame([(399,), (-1,)], "id long"), root, "delete", ["id"])
+    assert len(set(second.files) & set(third.files)) == len(second.files) - 1 and read_published(spark, root).count() == 400
+    fourth = mutate_published(spark.createDataFrame([(1, "twice")], "id long, name string"), root)
+    assert set(third.files) < set(fourth.files) and read_published(spark, root).where("id = 1").count() == 2
+
+
+def test_failed_and_lost_mutations_change_nothing(spark, tmp_path):
+    root = str(tmp_path / "root")
+    with pytest.raises(TabularError, match="target.state"):
+        read_published(spark, root)
+    publish_state(spark.range(3).selectExpr("id", "'a' AS name"), root)
+    boom = spark.range(1).selectExpr("id", "raise_error('no') AS name")
+    for mode, keys in (("insert", []), ("upsert", ["id"])):
+        with pytest.raises(JOB_FAILURES):
+            mutate_published(boom, root, mode, keys)
+    with pytest.raises(TabularError, match="target.key.repeated"):
+        mutate_published(spark.createDataFrame([(1, "x"), (1, "y")], "id long, name string"), root, "upsert", ["id"])
+    base = latest(spark, root)
+    commit(spark, root, base, list(base.files), base.notes)
+    with pytest.raises(TabularError, match="target.concurrent"):
+        commit(spark, root, base, [], base.notes)
+    # A writer that died within its commit leaves one that nobody reads, and its number.
+    (tmp_path / "root" / "_commits" / f"{3:012d}").write_text("{}\ndata/x")
+    assert latest(spark, root).number == 2 and read_published(spark, root).count() == 3
+    state = mutate_published(spark.range(5, 6).selectExpr("id", "'b' AS name"), root)
+    assert state.number == 4 and read_published(spark, root).count() == 4
+    assert sweep(spark, root) == 0
+    publish_state(spark.createDataFrame([], "id long, name string"), root)
+    assert read_published(spark, root).count() == 0 and sweep(spark, root) > 0 and read_published(spark, root).columns == ["id", "name"]
+
+
+def test_the_source_of_a_mutation_is_computed_once(spark, tmp_path):
+    root = str(tmp_path / "root")
+    publish_state(spark.range(10).selectExpr("id", "'a' AS name"), root)
+    seen = spark.sparkContext.accumulator(0)
+    source = spark.createDataFrame(spark.sparkContext.parallelize([(1, "x"), (50, "y")], 1).map(lambda r: (seen.add(1), r)[1]), "id long, name string")
+    mutate_published(source, root, "upsert", ["id"])
+    assert seen.value == 2
+
+
+def test_append_reads_none_of_the_listed_files(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = lambda *ids: spark.createDataFrame([(i, f"n{i}") for i in ids], "Id long, Name string").coalesce(1)
+    write_delimited(rows(1), path)
+    listed = latest(spark, path).files
+    # A listed file that is no longer well formed is not read again by an append.
+    (tmp_path / "out" / listed[0]).write_text("Id,Name\n1\n")
+    write_delimited(rows(2), path, mode="append")
+    assert len(latest(spark, path).files) == 2
+    put(tmp_path / "out", "foreign.csv", "Id,Name\n3,c,d\n")
+    with pytest.raises(JOB_FAILURES):
+        write_delimited(rows(4), path, mode="append")
+    put(tmp_path / "out", "foreign.csv", "Id,Name\n3,c\n")
+    write_delimited(rows(4), path, mode="append")
+    assert "foreign.csv" in latest(spark, path).files
+    with pytest.raises(TabularError, match="file.header.mismatch"):
+        write_delimited(rows(4).withColumnRenamed("Name", "Other"), path, mode="append")
+    with pytest.raises(TabularError, match="file.header.mismatch"):
+        write_delimited(rows(4), path, mode="append", delimiter=";")
+
+
+def test_replace_never_leaves_a_reader_without_a_target(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = lambda *ids: spark.createDataFrame([(i, f"n{i}") for i in ids], "Id long, Name string").coalesce(1)
+    write_delimited(rows(1, 2), path)
+    # New files that are not committed yet are not read.
+    rows(9).write.mode("append").option("header", "true").csv(path)
+    assert sorted(r["Id"] for r in read_delimited(spark, path, columns=PEOPLE).collect()) == [1, 2]
+    write_delimited(read_delimited(spark, path, columns=PEOPLE).where("Id = 2"), path, mode="replace")
+    assert [r["Id"] for r in read_delimited(spark, path, columns=PEOPLE).collect()] == [2]
+    assert set(latest(spark, path).files) == {f.name for f in (tmp_path / "out").glob("*.csv")}
+    plain = put(tmp_path / "plain", "a.csv", "Id,Name\n1,a\n")
+    write_delimited(rows(5), plain, mode="replace")
+    assert [r["Id"] for r in read_delimited(spark, plain, columns=PEOPLE).collect()] == [5]

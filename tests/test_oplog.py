@@ -138,9 +138,9 @@ def test_alert_rules(spark, tmp_path):
     source = str(tmp_path / "runs")
     for _ in range(2):
         runs.coalesce(1).write.mode("append").parquet(source)
-    for collapse in (False, True):
-        stream = match_rules_stream(read_stream(spark, source, runs.schema, files_per_trigger=1), rules, collapse_copies=collapse)
-        streamed = deliver_available(stream, "alerts", str(tmp_path / f"out{collapse}"), str(tmp_path / f"ck{collapse}"))
+    for again in (False, True):
+        stream = match_rules_stream(read_stream(spark, source, runs.schema, files_per_trigger=1), rules)
+        streamed = deliver_available(stream, "alerts", str(tmp_path / f"out{again}"), str(tmp_path / f"ck{again}"))
         assert sorted((r["rule_id"], r["run_id"], r["status"]) for r in streamed.collect()) == HITS
 
 
@@ -158,6 +158,21 @@ def test_late_runs_are_delivered(spark, tmp_path):
     assert sorted(r["delivery_key"] for r in got.collect()) == sorted(r["delivery_key"] for r in want.collect()) and want.count() == 8
 
 
+@pytest.mark.parametrize("kept", [True, False])
+def test_a_second_call_adds_to_what_was_delivered(spark, tmp_path, kept):
+    """With the same checkpoint, or with a new one each time."""
+    rules = spark.createDataFrame(RULES, "rule_id long, workflow_id long, triggers int, enabled boolean")
+    schema, source, out = "run_id long, workflow_id long, status string, completed_at timestamp", str(tmp_path / "runs"), str(tmp_path / "out")
+    seen = []
+    for run in (1, 2, 3):
+        spark.createDataFrame([(run, 1, "Failed", START)], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = match_rules_stream(read_stream(spark, source, spark.read.parquet(source).schema), rules)
+        got = deliver_available(stream, "again", out, str(tmp_path / "ck") if kept else None)
+        seen.append(sorted({r["run_id"] for r in got.collect()}))
+        assert got.count() == got.select("delivery_key").distinct().count()
+    assert seen == [[1], [1, 2], [1, 2, 3]]
+
+
 def test_templates(spark):
     df = spark.createDataFrame([("r1", None), ("{{run.id}}", "E")], "id string, code string")
     text = "{{run.id}}|{{ error.code }}|{{workflow.name}}"

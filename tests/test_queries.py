@@ -16,8 +16,8 @@ from tablewright.operators.filter import filter_rows
 from tablewright.operators.sort import top_rows
 from tablewright.plans.registry import ORACLES, QUERIES
 
-# Python runs only where no expression exists: workbooks, keyed state, copies in a stream.
-PYTHON = {"workbook_roundtrip", "fold_events_stream", "match_rules_streamed"}
+# Python runs only where no expression exists: workbooks and keyed state.
+PYTHON = {"workbook_roundtrip", "fold_events_stream"}
 
 
 def plan_of(df):
