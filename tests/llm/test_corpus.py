@@ -194,10 +194,65 @@ def test_dear_segments_keep_similar_sets_together():
         a = np.unique(pick.integers(0, 1 << 62, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[: len(a) - len(a) // 8], pick.integers(0, 1 << 62, len(a) // 8).astype(np.uint64)]))
         for common in (np.zeros(0, np.uint64), np.sort(a[::2]), np.sort(a)):
-            keys = [{(x, k) for x, w in jaccard.bands(len(s)) for k in jaccard.segment_keys(s, x, w, common)[0].tolist()} for s in (a, b)]
+            keys = [{(x, k) for x, w in jaccard.bands(len(s)) for found in jaccard.segment_keys(s, x, w, common) for k in found.tolist()} for s in (a, b)]
             assert keys[0] & keys[1]
 
 
+@pytest.mark.parametrize("deletions", [False, True])
+def test_pairs_at_the_threshold_share_a_key(deletions):
+    """Sets at Jaccard 0.75 as near as can be, one within the other or not, with any part of them common."""
+    pick, lost, tried = np.random.default_rng(4), 0, 0
+    for small in (4, 6, 9, 30, 63, 64, 96, 126, 127, 128, 129, 196, 210, 224, 252, 255, 256, 300, 600, 1500):
+        for _ in range(40 if small < 1000 else 10):
+            nested = pick.random() < 0.6
+            large = small * 4 // 3 if nested else int(pick.integers(small, small * 4 // 3 + 1))
+            union = np.unique(pick.integers(0, 1 << 62, 2 * small).astype(np.uint64))
+            pick.shuffle(union)
+            shared = -(-3 * (small + large) // 7)
+            shared = min(small, shared)
+            a = np.sort(union[:small])
+            b = np.sort(np.concatenate([a[pick.permutation(small)[:shared]], union[small : small + large - shared]]))
+            if 100 * shared < 75 * (small + large - shared) or len(b) != large:
+                continue
+            whole = np.concatenate([a, b])
+            own = np.setxor1d(a, b)
+            for common in (
+                np.zeros(0, np.uint64), np.unique(whole), np.intersect1d(a, b), np.unique(a), np.unique(b), own,
+                np.unique(whole[pick.random(len(whole)) < pick.random()]), np.setdiff1d(np.unique(whole), own[: len(own) // 2]),
+            ):
+                keys = [{(x, k) for x, w in jaccard.bands(len(s)) for found in jaccard.segment_keys(s, x, w, common, deletions) for k in found.tolist()} for s in (a, b)]
+                lost += not keys[0] & keys[1]
+                tried += 1
+    assert tried > 4000 and lost == 0
+
+
+def test_nested_copies_over_a_common_passage(spark, monkeypatch):
+    """Texts of 252 and 336 shingles, the smaller in the larger and five times in the table, next to others that share most of it."""
+    monkeypatch.setattr(jaccard, "COMMON_LEAST", 3)
+    pick, rows = random.Random(12), []
+    words = [f"w{i}" for i in range(9000)]
+    passage = pick.choices(words, k=170)
+    for _ in range(25):
+        text = passage + pick.choices(words, k=86)
+        rows += [" ".join(text)] * 5 + [" ".join(text + pick.choices(words, k=84))]
+    rows += [" ".join(passage + pick.choices(words, k=pick.choice([200, 400]))) for _ in range(40)]
+    rows = list(enumerate(rows))
+    out = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == groups(rows)
+    assert {n for n, _ in groups(rows).values()} >= {252, 336}
+
+
+def test_sets_of_very_many_shingles_are_checked_on_whole_hashes(spark):
+    """Just below and at the threshold with over 200,000 shingles, where half hashes agree by chance."""
+    n = 240_000
+    base = [f"w{i}" for i in range(n + 4)]
+    below = base[: n * 3 // 4 + 3] + [f"x{i}" for i in range(n // 4 + 200)]
+    at = base[: n * 3 // 4 + 5000]
+    rows = [(1, " ".join(base)), (2, " ".join(below)), (3, " ".join(at))]
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert out == {1: 1, 2: 2, 3: 1}
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 100), (7, 7)]
     out = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
