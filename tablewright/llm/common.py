@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +45,10 @@ def without_white(text: Column) -> Column:
 class Scratch:
     """Tables written below the shared folder; each can be dropped once its readers have run."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, within: Scratch | None = None):
+        """``within`` another one's folder, these tables go when that one is cleared."""
         self.spark = spark
-        self.base = scratch_path(spark, label)
+        self.base = scratch_path(spark, label) if within is None else f"{within.base}/{label}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         self.count = 0
 
@@ -61,6 +65,23 @@ class Scratch:
         for name in names:
             self._delete(self.paths.pop(name))
 
+    def clear(self) -> None:
+        """Remove all tables and those of scratch folders within; nothing that reads them may run after."""
+        self.paths.clear()
+        self._delete(self.base)
+
     def _delete(self, path: str) -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def row_place(docs: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """The rows with a value of their own in the column ``name``, the same at every reading.
+
+    For rows read from Parquet it is the file's hash and the row's number in it, which costs nothing; others are
+    written once with a number each.
+    """
+    try:
+        return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    except AnalysisException:
+        return scratch.put("rows", docs.withColumn(name, F.monotonically_increasing_id()))

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import Scratch
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100, within: Scratch | None = None) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a``, ``b``); the root is the component's smallest node.
 
-    Loops, repeated edges and edges with a null end are left out; no edge gives no row.
+    Loops, repeated edges and edges with a null end are left out; no edge gives no row. The last round's edges stay in
+    the shared folder, or in that of ``within`` until it is cleared.
     """
-    scratch = Scratch(edges.sparkSession, "components")
+    scratch = Scratch(edges.sparkSession, "components", within)
     held = scratch.put("edges", edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(most_rounds):
         # u > v throughout. Large star: a node's larger neighbours go to its smallest neighbour or itself.
