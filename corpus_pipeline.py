@@ -10,17 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import content_sort, curriculum, jaccard, packing, quality
-from tablewright.llm.common import Scratch, col, fresh, whole_text
+from tablewright.llm.common import Scratch, col, fresh, row_place, whole_text
 from tablewright.plans.tables import table
 
 QUALITY_THRESHOLD = 0.3
 
 
-def numbered(spark: SparkSession, docs: DataFrame, row: str) -> DataFrame:
-    """The rows with a number each in the column ``row``; written once, so that every reading has the same numbers."""
-    return Scratch(spark, "rows").put("rows", docs.withColumn(row, F.monotonically_increasing_id()))
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; labels of held-out ids are not learned."""
     labels = table(spark, sf_dir, "labels")
@@ -36,13 +31,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row: that with the smallest id, null last; of rows that share it, one.
 
-    Rows are told apart by numbers of their own, so that a row is dropped for its own text and not for that of a
-    namesake. Texts without words have no near copies. The numbered rows are written to the shared folder once.
+    Rows are told apart by their places in the stage's files, so that a row is dropped for its own text and not for
+    that of a namesake. Texts without words have no near copies. What the join writes on the way is removed.
     """
     row, dropped = fresh(docs, "row", "dropped")
-    docs, columns = numbered(spark, docs, row), docs.columns
-    groups = jaccard.jaccard_groups(docs, row=row).where("root IS NOT NULL").select("row", "doc_id", "root")
-    groups = Scratch(spark, "near").put("groups", groups)
+    held, work = Scratch(spark, "near"), Scratch(spark, "jaccard")
+    docs, columns = row_place(docs, row, held), docs.columns
+    groups = jaccard.jaccard_groups(docs, row=row, scratch=work).where("root IS NOT NULL").select("row", "doc_id", "root")
+    groups = held.put("groups", groups)
+    work.clear()
     first = groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
     groups = groups.join(first, "row", "left_anti").select(F.col("row").alias(dropped))
     return docs.join(groups, F.col(row) == F.col(dropped), "left_anti").select(*map(col, columns))
@@ -51,11 +48,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, to the nearest whole number; each copy in order of its own pass's training position.
 
-    Rows are told apart by numbers of their own: those with a null id and those that share an id are each taken as
-    the mix says. The numbered rows are written to the shared folder once.
+    Rows are told apart by their places in the stage's files: those with a null id and those that share an id are each
+    taken as the mix says.
     """
     row, mixed, dues, due = fresh(docs, "row", "mixed", "dues", "due")
-    docs, columns = numbered(spark, docs, row), docs.columns
+    docs, columns = row_place(docs, row, Scratch(spark, "rows")), docs.columns
     taken = curriculum.mix(docs, curriculum.WEIGHTS, curriculum.SLOPES, row=row)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     # Passes reach a row in turn, so its copies are its first passes.
