@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,7 +107,12 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, ledger: DataFrame | None =
 
 
 def path_findings(paths: DataFrame, findings: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """Per path the counts of the base kinds, the digest of the base spans, and all spans in order."""
+    """Per path the counts of the base kinds, the digest of the base spans, and all spans in order.
+
+    Only findings of the given rules in their given versions count; those of older versions stay in the ledger's findings.
+    """
+    current = reduce(Column.__or__, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules], F.lit(False))
+    findings = findings.where(current)
     place = F.element_at(F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))]), F.col("kind"))
     span = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     rows = findings.select("blob", "kind", F.struct(F.col("start"), place.alias("place"), span.alias("span")).alias("s"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as references
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,35 +43,57 @@ ARTICLE_WORDS = frozenset("header masthead".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+# What a name that begins with one of the words may end with, to name a part of the page: "share-buttons", "widget-area".
+PART_WORDS = frozenset("area bar block blocks bottom box button buttons container content form group header heading holder icons inner items links list lists panel posts section top wrap wrapper".split())
+
+
 class Element:
-    __slots__ = ("name", "parent", "path", "skipped", "chars", "in_article")
+    """An element of a page, numbered in page order; ``path`` is the number of its tag path, ``last`` that of the last element in it."""
 
-    def __init__(self, name: str, parent: Element | None, skipped: bool):
-        self.name, self.parent = name, parent
-        self.path = f"{parent.path}/{name}" if parent else name
+    __slots__ = ("name", "parent", "number", "last", "path", "depth", "skipped", "marked", "chars", "mass", "prose", "in_article")
+
+    def __init__(self, name: str, parent: Element | None, number: int, path: int, skipped: bool, marked: bool):
+        self.name, self.parent, self.number, self.last, self.path = name, parent, number, number, path
+        self.depth = parent.depth + 1 if parent else 0
         self.skipped = skipped or (parent is not None and parent.skipped)
+        self.marked = marked
         self.in_article = name in ("article", "main") or (parent is not None and parent.in_article)
-        self.chars = 0
+        self.chars = self.mass = self.prose = 0
 
 
-def marked(name: str, attributes: str, parent: Element) -> bool:
+def hidden(name: str, attributes: str, parent: Element) -> bool:
+    """Whether an element is never part of an article: by its name, or because it isn't shown."""
     if name in NOT_ARTICLE or (name == "header" and not parent.in_article):
         return True
+    if name in ("html", "body", "article", "main"):
+        return False
+    if "=" in attributes:
+        for a in ATTRIBUTE.finditer(attributes):
+            key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+            if (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
+                return True
+        attributes = ATTRIBUTE.sub("", attributes)
+    return "hidden" in attributes.lower().split()
+
+
+def named_apart(name: str, attributes: str, parent: Element) -> bool:
+    """Whether a class, id or role says that an element is no article: a word for it whole, at its end, or before a word for a part."""
     if name in ("html", "body", "article", "main") or "=" not in attributes:
         return False
     words = NOT_ARTICLE_WORDS - ARTICLE_WORDS if parent.in_article else NOT_ARTICLE_WORDS
     for a in ATTRIBUTE.finditer(attributes):
-        key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-        if key in ("class", "id", "role") and not words.isdisjoint(NAME_PARTS.split(value)):
-            return True
-        if (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return "hidden" in ATTRIBUTE.sub("", attributes).lower().split()
-
-
-def blocks(page: str) -> list[tuple[Element, str]]:
-    """The text blocks of a page in order, each with the element it stands in; marked elements are left out."""
-    root = top = Element("", None, False)
+        if a[1].lower() in ("class", "id", "role"):
+            for value in (a[2] or a[3] or a[4] or "").lower().split():
+                parts = [x for x in NAME_PARTS.split(value) if x]
+                if parts and (parts[-1] in words or (parts[-1] in PART_WORDS and not words.isdisjoint(parts[:-1]))):
+                    return True
+    return False
+
+
+def blocks(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
+    """The elements of a page, and its text blocks in order, each with the element it stands in; hidden elements are left out."""
+    root = top = Element("", None, 0, 0, False, False)
+    elements, paths, unclosed = [root], {}, Counter()
     out: list[tuple[Element, str]] = []
     buffer: list[str] = []
     owner = root
@@ -112,11 +135,13 @@ def blocks(page: str) -> list[tuple[Element, str]]:
         elif name == "br":
             put("\n")
         if m[1]:
-            e = top
-            while e is not root and e.name != name:
-                e = e.parent
-            if e is not root:
-                top = e.parent
+            # An end tag of nothing that is open means nothing.
+            if unclosed[name]:
+                while top.name != name:
+                    unclosed[top.name] -= 1
+                    top = top.parent
+                unclosed[name] -= 1
+                top = top.parent
             continue
         if name in VOID:
             continue
@@ -127,20 +152,51 @@ def blocks(page: str) -> list[tuple[Element, str]]:
                 last = e if e.name not in INLINE else last
                 e = e.parent
             if last is not None:
-                top = last.parent
+                while top is not last.parent:
+                    unclosed[top.name] -= 1
+                    top = top.parent
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if not attributes.rstrip().endswith("/") or name not in ("path", "rect", "circle"):
-            top = Element(name, top, top.skipped or marked(name, attributes, top))
+            path = paths.setdefault((top.path, name), len(paths) + 1)
+            top = Element(name, top, len(elements), path, top.skipped or hidden(name, attributes, top), named_apart(name, attributes, top))
+            elements.append(top)
+            unclosed[name] += 1
     if at < len(page):
         rest = page[at:]
         # An unfinished tag at the end is markup.
         cut = re.search(r"<[A-Za-z/!?][^<>]*\Z", rest)
         put(rest[: cut.start()] if cut else rest)
     flush()
-    return out
+    # Numbers follow the page, so an element's parts lie in one stretch of them.
+    for e in reversed(elements[1:]):
+        e.parent.last = max(e.parent.last, e.last)
+    return elements, out
+
+
+def without_named_parts(elements: list[Element], found: list[tuple[Element, str]]) -> list[tuple[Element, str]]:
+    """The blocks outside elements whose class, id or role says that they are no article.
+
+    A name doesn't count against most of the page: an element that holds over half of the punctuated text, in several
+    blocks, is what the page is about, whatever a word in its classes says; on a page with an article or main element,
+    it must hold that one or lie in it.
+    """
+    for e, text in found:
+        if PUNCTUATION.search(text):
+            e.mass += len(text)
+            e.prose += 1
+    total = sum(e.mass for e in elements)
+    for e in reversed(elements[1:]):
+        e.parent.mass += e.mass
+        e.parent.prose += e.prose
+    articles = [e for e in elements if e.name in ("article", "main") and e.mass]
+    for e in elements[1:]:
+        most = e.marked and 2 * e.mass > total and e.prose > 1
+        most = most and (not articles or e.in_article or any(within(a, e) for a in articles))
+        e.marked = e.parent.marked or (e.marked and not most)
+    return [block for block in found if not block[0].marked]
 
 
 def smooth(values: list[float]) -> list[float]:
@@ -153,10 +209,8 @@ def smooth(values: list[float]) -> list[float]:
     return out
 
 
-def within(e: Element | None, container: Element) -> bool:
-    while e is not None and e is not container:
-        e = e.parent
-    return e is not None
+def within(e: Element, container: Element) -> bool:
+    return container.number <= e.number <= container.last
 
 
 def widened(found: list[tuple[Element, str]], picked: list[bool], article: Element, start: int, stop: int) -> tuple[int, int]:
@@ -192,10 +246,11 @@ def widened(found: list[tuple[Element, str]], picked: list[bool], article: Eleme
 
 def main_text(page: str | None) -> str:
     """The main text of one page: its blocks joined by blank lines; empty for an empty page or one without text."""
-    found = blocks(page or "")
+    elements, found = blocks(page or "")
+    found = without_named_parts(elements, found)
     if not found:
         return ""
-    totals: dict[str, list[float]] = {}
+    totals: dict[int, list[float]] = {}
     for e, text in found:
         t = totals.setdefault(e.path, [0.0, 0.0, 0.0])
         t[0] += 1
@@ -213,15 +268,11 @@ def main_text(page: str | None) -> str:
     for e, text in chosen:
         total += len(text)
         up = e.parent if (e.name in HEADINGS or e.name in ("p", "li", "pre", "blockquote", "td", "dd")) and e.parent else e
-        while up is not None:
-            up.chars += len(text)
-            up = up.parent
-    article, depth = None, -1
-    for e, _ in chosen:
-        while e is not None and e.chars < 0.85 * total:
-            e = e.parent
-        if e is not None and e.path.count("/") > depth:
-            article, depth = e, e.path.count("/")
+        up.chars += len(text)
+    for e in reversed(elements[1:]):
+        e.parent.chars += e.chars
+    # Elements with most of it lie within each other; the root is one of them.
+    article = max((e for e in elements if e.chars >= 0.85 * total), key=lambda e: e.depth) if chosen else None
     # Lists, quotations and table parts belong to what they stand in.
     while article is not None and article.name in ("ul", "ol", "li", "table", "tbody", "tr", "td", "blockquote", "dl", "p", "pre") and article.parent is not None and article.parent.parent is not None:
         article = article.parent
@@ -242,7 +293,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     White space inside a block becomes one space; a line break element is white space. Null and empty pages
     and pages without text have an empty text. A page is read whole, one page at a time, whatever its
-    length; repeated rows give repeated rows and an empty table an empty result.
+    length and however deep its elements; time and memory grow in proportion to its length; repeated rows give repeated rows and an empty table an empty result.
     """
     read = F.pandas_udf(lambda texts: pd.Series([main_text(t) for t in texts], dtype=object), "string")
     out = pages.select(col(key).alias("page_id"), col(url).alias("url"), read(F.coalesce(col(html), F.lit(""))).alias("text"))

@@ -484,3 +484,41 @@ def test_mix_places_each_pass_of_a_row(spark, folder):
         demand[source] += size
         seen[i] = seen.get(i, 0) + 1
     assert max(seen.values()) == 2 and all(x <= y + 1e-8 for x, y in zip(times, times[1:]))
+
+
+def test_ledger_counts_only_the_rules_in_force(spark):
+    docs = spark.createDataFrame([(1, "password = abcdefgh")], "doc_id long, text string")
+    _, ledger, findings = blob_ledger.scan(docs)
+    raised = [blob_ledger.Rule(r.kind, 2, *[getattr(r, f) for f in list(r.__dataclass_fields__)[2:]]) if r.kind == "assign" else r for r in blob_ledger.RULES]
+    paths, _, both = blob_ledger.scan(docs, raised, ledger, findings)
+    row = blob_ledger.path_findings(paths, both, raised).first()
+    assert row["n_assign"] == 1 and row["spans"].count("assign") == 1 and both.count() == findings.count() + 1
+
+
+def test_lattice_tells_rows_without_and_with_repeated_ids_apart(spark):
+    a, b, c = [1.0, 0.0, 0.0, 0.1, 0.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.11, 0.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    rows = [(None, a, 1), (None, b, 1), (5, a, 2), (5, c, 2), (7, b, 2), (9, c, 2), (11, c, 3)]
+    out = sorted((tuple(r) for r in lattice.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=str)
+    assert out == sorted([(None, 1, None, True), (None, 1, None, True), (5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (9, 1, 5, False), (11, 0, 11, True)], key=str)
+
+
+PARAGRAPHS = [f"This is sentence {i}, long enough to count as prose, with commas, and a full stop." * 3 for i in range(6)]
+
+
+@pytest.mark.parametrize("name", ["post tags-on", "has-search", "sticky-menu-page", "ad-free", "menu-open", "layout sidebar-none", "with-header", "share-enabled", "entry no-comments", "col respond-md"])
+def test_tag_paths_keep_an_article_in_any_wrapper(name):
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    page = f'<html><body><div class="site-nav"><a href="/">Home</a> <a href="/x">News</a></div><div class="{name}"><h1>Title</h1>{body}</div><div class="sidebar"><p>Read this too, now.</p></div></body></html>'
+    assert tag_paths.main_text(page) == "\n\n".join(["Title", *PARAGRAPHS])
+
+
+def test_tag_paths_keep_named_sections_and_drop_named_parts():
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS[:4])
+    page = f'<body><article><h1>T</h1>{body}<section class="related-work"><h2>Related work</h2><p>{PARAGRAPHS[4]}</p></section><div id="search-engines"><p>{PARAGRAPHS[5]}</p></div><div class="share-buttons"><p>Share this, please.</p></div><div class="related-posts"><p>Another post, read it.</p></div></article></body>'
+    text = tag_paths.main_text(page)
+    assert PARAGRAPHS[4] in text and PARAGRAPHS[5] in text and "Share" not in text and "Another" not in text
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "deep", "<div>x, y." * 100_000, "<div>" * 100_000 + "</p>" * 100_000 + "z.", "<p>a, b.</p>" * 20_000 + "</div>" * 50_000])
+def test_tag_paths_on_very_deep_pages(page):
+    assert tag_paths.main_text(page)
