@@ -10,16 +10,17 @@ task to task. The packets in round order are one token stream, cut into sequence
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tablewright.llm.common import Scratch, col, whole_text
+from tablewright.llm.common import WHITE, Scratch, col, whole_text
 from tablewright.llm.curriculum import running_words
 
 # Words of these characters are lower-cased and cut by the pattern below as by the tokenizer itself.
@@ -31,7 +32,10 @@ END_ID = 2
 SEQUENCE, PACKET = 4096, 1024
 # Rounds whose packets one task adds up: about four million tokens.
 BLOCK_ROUNDS = 1024
-CACHED_WORDS = 600_000
+# Words known at a time, and as many again that were known before them.
+CACHED_WORDS = 400_000
+# Text whose words one call counts together.
+TEXT_BYTES = 8_000_000
 
 
 def word_bpe_path() -> str:
@@ -43,9 +47,9 @@ def word_bpe_path() -> str:
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit integers.
 
-    The tokenizer drops white space and never joins what it parts, so a text's ids are its words' ids. Words are
-    encoded once per worker, as far as the cache goes: plain ones as the pieces into which the tokenizer cuts them, many
-    pieces in one call, others each alone.
+    Where the tokenizer drops white space and never joins what it parts, a text's ids are its words' ids, and the distinct
+    words of many texts are encoded once per worker, as far as the cache goes: plain ones as the pieces into which the
+    tokenizer cuts them, many pieces in one call, others each alone. Any other tokenizer reads whole texts.
     """
 
     def __init__(self, path: str, end: int):
@@ -54,22 +58,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end], "<u4").tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for token, i in vocabulary.items() if token.endswith(CLOSING)]] = True
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of texts in UTF-8; bytes are split at blanks, tabs, line breaks, vertical tabs and form feeds."""
-        split = [t.split() for t in texts]
+        self.by_word = self.cuts_as_stated()
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [code.ids for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def cuts_as_stated(self) -> bool:
+        """Whether white space is dropped and words are cut as by ``PIECES``, tried on all pairs of plain characters."""
+        plain = [c for c in map(chr, range(256)) if PLAIN.fullmatch(c)]
+        words = [a + b for a in plain for b in plain] + [a + mark + a for a in "aB1.\xe9" for mark in ("'s", "'T", "'re", "'ve", "'m", "'ll", "'d", "''")]
+        parts = [PIECES.findall(w.lower()) for w in words]
+        pieces = sorted({p for some in parts for p in some})
+        of = dict(zip(pieces, self.ids(pieces), strict=True))
+        if any(whole != [i for p in some for i in of[p]] for whole, some in zip(self.ids(words), parts, strict=True)):
+            return False
+        if any(not self.closing[of[p][-1:]].all() or self.closing[of[p][:-1]].any() for p in pieces):
+            return False
+        apart = self.ids(["ab", "ba"])
+        return all(found == apart[0] + apart[1] for found in self.ids([x + "ab" + c + x + "ba" + x for c in WHITE for x in ("", *WHITE)]))
+
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of texts and their numbers; words end at blanks, tabs, line breaks, vertical tabs and form feeds."""
+        if not self.by_word:
+            whole = [t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()]
+            found = [np.array(ids, "<u4").tobytes() + self.end for ids in self.ids(whole)]
+            return pa.array(found, pa.binary()), np.array([len(b) // 4 for b in found], np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().cast(pa.binary()).dictionary_encode()
+        codes = [*self.codes(words.dictionary.to_pylist()), self.end]
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        table, firsts = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(sizes) - sizes
+        # The end id follows the last word of each text as a word of its own.
+        ends = np.diff(split.offsets.to_numpy()).cumsum()
+        order = np.insert(words.indices.to_numpy(), ends, len(codes) - 1)
+        lengths = sizes[order]
+        stops = np.cumsum(lengths)
+        ids = table[np.repeat(firsts[order] - stops + lengths, lengths) + np.arange(stops[-1])]
+        offsets = np.concatenate([[0], stops[ends + np.arange(len(ends))]])
+        found = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids)])
+        return found, np.diff(offsets)
+
+    def codes(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, an empty one included."""
+        if len(self.known) > CACHED_WORDS:
+            self.before, self.known = self.known, {}
         known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        # Not a difference of sets, which would go through all known words.
-        new = [w for w in set().union(*split) if w not in known]
         cut: dict[bytes, list[bytes]] = {}
         pieces: set[bytes] = set()
         alone: list[bytes] = []
-        for word in new:
+        for word in self.unknown(words):
             if word.isalpha():  # of bytes: ASCII letters only, one piece
                 cut[word] = [word.lower()]
             elif PLAIN.fullmatch(text := word.decode("utf-8", "replace")) and "<|" not in text:
@@ -80,12 +121,18 @@ class Encoder:
             pieces.update(cut[word])
         for i in range(0, len(alone), 10_000):
             some = alone[i : i + 10_000]
-            for word, code in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                known[word] = np.array(code.ids, "<u4").tobytes()
-        self.encode_pieces([p for p in pieces if p not in known])
+            for word, ids in zip(some, self.ids([w.decode("utf-8", "replace") for w in some]), strict=True):
+                known[word] = np.array(ids, "<u4").tobytes()
+        self.encode_pieces(self.unknown(pieces))
         for word, parts in cut.items():
             known[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
-        return [b"".join([known[w] for w in words]) + self.end for words in split]
+        return [known[w] for w in words]
+
+    def unknown(self, words: Iterable[bytes]) -> list[bytes]:
+        """Those that have to be encoded. What was last met before the cache was full comes along into the new one."""
+        missing = [w for w in words if w not in self.known]
+        self.known.update((w, code) for w in missing if (code := self.before.get(w)) is not None)
+        return [w for w in missing if w not in self.known]
 
     def encode_pieces(self, pieces: list[bytes]) -> None:
         """Encodes pieces as one text; each ends with a token that closes a piece, and no other of its tokens does."""
@@ -117,12 +164,18 @@ def encode_documents(docs: DataFrame, key: str, text: str, source: str, path: st
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = worker_encoder(path or word_bpe_path(), end)
         for batch in batches:
-            # A few texts at a time: the ids of a batch of very long texts need not be held together.
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = encoder.encode(part.column("text").cast(pa.binary()).to_pylist())
-                sizes = pa.array([len(b) // 4 for b in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), sizes, pa.array(ids, pa.binary())], ["doc_id", "source", "size", "ids"])
+            texts = batch.column("text")
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+            # Some megabytes of text at a time: the ids of a batch of very long texts need not be held together.
+            group = (np.cumsum(sizes, dtype=np.int64) - sizes) // TEXT_BYTES
+            borders = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(borders, borders[1:]):
+                if start == stop:
+                    continue
+                # A copy of its own: Arrow's split looks at all of a slice's buffer.
+                ids, counts = encoder.encode(pa.concat_arrays([texts.slice(start, stop - start)]))
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(counts, pa.int64()), ids], ["doc_id", "source", "size", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(encode, f"doc_id {kind}, source string, size long, ids binary")

@@ -396,6 +396,60 @@ def test_packing_round_trip(spark, folder, docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_with_another_tokenizer():
+    import public_tokenizers
+    import pyarrow as pa
+
+    texts = ["", " two  words\n", "It's 12 o'clock <|endoftext|>", "Gr\xfc\xdfe \u00a0\u4e16\u754c", "a" * 5000 + " b"]
+    for name, by_word in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        encoder = packing.Encoder(public_tokenizers.path(name), 7)
+        assert encoder.by_word == by_word
+        for _ in range(2):
+            found, sizes = encoder.encode(pa.array(texts))
+            want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+            assert [np.frombuffer(b, "<u4").tolist() for b in found.to_pylist()] == want and sizes.tolist() == list(map(len, want))
+
+
+def test_packing_keeps_words_past_a_full_cache(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    encoder = packing.Encoder(packing.word_bpe_path(), 2)
+    for text in ("one two, three", "four one five's", "one two six", "seven Two, \xe9t\xe9 \u4e16", "one two, three"):
+        found, _ = encoder.encode(pa.array([text, None, "one"]).fill_null(""))
+        want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in (text, "", "one")]
+        assert [np.frombuffer(b, "<u4").tolist() for b in found.to_pylist()] == want
+
+
+def test_packing_against_a_round_robin_loop(spark, folder):
+    """Order of the packets, proportions of every window and carried deficits, with the queues as they are read."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("source", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None)), (F.col("doc_id") % 3 + 1).cast("int")))
+    weights = {"a": 5.0, "b": 2.0}
+    out = sorted(packing.pack(docs, weights=weights, packet=256).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    sources = {r["doc_id"]: r["source"] for r in docs.collect()}
+    sizes = {r["doc_id"]: r["doc_tokens"] for r in out}
+    queues = {s: [] for s in (None, "a", "b")}
+    for i in sorted(sources, key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+        queues[sources[i]] += [(i, at, min(256, sizes[i] - at)) for at in range(0, sizes[i], 256)]
+    quanta = {s: weights.get(s, 1.0) / 8 * packing.SEQUENCE for s in queues}
+    deficits, left, order, even = dict.fromkeys(queues, 0.0), {s: list(reversed(q)) for s, q in queues.items()}, [], None
+    while any(left.values()):
+        for s in queues:
+            deficits[s] += quanta[s]
+            while left[s] and left[s][-1][2] <= deficits[s]:
+                order.append(left[s].pop())
+                deficits[s] -= order[-1][2]
+        if even is None and not all(left.values()):
+            even = sum(n for _, _, n in order) // packing.SEQUENCE - 1
+    # Packets as sent: a piece that starts within a packet is the rest of one cut by a sequence's end.
+    assert [(r["doc_id"], r["start"]) for r in out if r["start"] % 256 == 0] == [(i, at) for i, at, _ in order]
+    assert even > 10
+    for window in range(even):
+        for s in queues:
+            held = sum(r["length"] for r in out if r["sequence_id"] == window and sources[r["doc_id"]] == s)
+            assert abs(held - quanta[s]) <= 3 * 256
+
+
 def test_pipeline_against_brute_force(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     judged = quality.judge_quality(docs, spark.read.parquet(f"{folder}/labels.parquet"))
