@@ -16,8 +16,8 @@ from tablewright.plans.node_graph import run_nodes
 from tablewright.plans.tables import table
 from tablewright.plans.transform_queries import ORACLES, query
 from tablewright.streaming.alerts import deliver_available, match_rules_stream
-from tablewright.streaming.run import read_stream, run_available
-from tablewright.streaming.steps import fold_stream, latest_steps
+from tablewright.streaming.run import read_stream
+from tablewright.streaming.steps import fold_available
 
 
 @query("SELECT event_id, ts, user_id, event_type FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100")
@@ -170,7 +170,7 @@ def fold_events_stream(spark, folder):
     """The same fold as a stateful stream over the event table."""
     schema = table(spark, folder, "events").schema
     stream = node_events(read_stream(spark, folder, schema, "events.parquet"))
-    return _shown(latest_steps(run_available(fold_stream(stream), "steps")))
+    return _shown(fold_available(stream, "steps"))
 
 
 # --- alerts -------------------------------------------------------------------------------

@@ -3,15 +3,19 @@
 State per (run, node) is one small row, kept in the state store. A micro-batch is bounded
 by the source's admission settings (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``), and
 with it the events of one key a task can see at once.
+
+``fold_available`` folds each micro-batch by the batch operators instead, so that a hot key is spread
+over tasks: state is a log of small rows, one per touched key and micro-batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,8 +31,10 @@ from tablewright.oplog.steps import (
     SUCCEEDED,
     TOTALS,
     UNNAMED_ERROR,
+    fold_events,
     with_defaults,
 )
+from tablewright.session import dropped, scratch_path
 
 STEP_SCHEMA = (
     "run_id string, node_id string, attempt bigint, status string, started_at timestamp, completed_at timestamp, "
@@ -39,6 +45,13 @@ STEP_SCHEMA = (
 STATE_SCHEMA = "attempts bigint, events bigint, running bigint, started_at timestamp, " + ", ".join(
     f"{t} bigint" for t in TOTALS
 )
+# Of a key after a micro-batch: attempts so far, the running one (0 when none is) and what it has reported.
+KEYS = ("run_id", "node_id")
+OPEN_SCHEMA = "run_id string, node_id string, attempts bigint, running bigint, started_at timestamp, " + ", ".join(
+    f"{t} bigint" for t in TOTALS
+) + ", version bigint"
+# Every so many micro-batches the states of all keys are written, not only of the touched ones.
+SNAPSHOT = 32
 KINDS = (STARTED, PROGRESSED, SUCCEEDED, FAILED, RETRY_SCHEDULED, CANCELLED, SKIPPED)
 STATUS = ("Running", "Running", "Succeeded", "Failed", "Failed", "Cancelled", "Skipped")
 START, SKIP, CANCEL = KINDS.index(STARTED), KINDS.index(SKIPPED), KINDS.index(CANCELLED)
@@ -71,6 +84,78 @@ def latest_steps(log: DataFrame) -> DataFrame:
     return newest.select("run_id", "node_id", "attempt", "__step.*")
 
 
+def fold_available(events: DataFrame, label: str, output: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """The current attempts of all events that have arrived, folded micro-batch by micro-batch without Python.
+
+    Events count in arrival order between micro-batches and by ``seq`` within one; those without a run or node id
+    are left out. An attempt that ran on from an earlier micro-batch enters the next one as a start and a report
+    before its first event, so the fold of a micro-batch is ``fold_events``, whose windows hold no more than a block of
+    a key. A micro-batch writes the attempts and the keys it touched into folders of its own, so one that is run again
+    replaces what it wrote. They lie below ``output``, apart by checkpoint; a later call with both goes on.
+    """
+    spark = events.sparkSession
+    output = output or scratch_path(spark, f"{label}-out")
+    checkpoint = checkpoint or scratch_path(spark, f"{label}-log")
+    base = f"{output}/{hashlib.md5(checkpoint.rstrip('/').encode()).hexdigest()}"
+
+    def fold(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        snapshot = max(0, number - 1) // SNAPSHOT * SNAPSHOT
+        before = _open_steps(session, base, range(snapshot, number))
+        low = batch.agg(F.min("seq")).first()[0] or 0
+        touched = before.join(batch.select(*KEYS).distinct(), list(KEYS), "left_semi")
+        ran_on = touched.where("running > 0")
+        no_error = F.lit(None).cast("string").alias("error_code")
+        start = ran_on.select(*KEYS, F.lit(low - 2).alias("seq"), F.lit(STARTED).alias("kind"), F.col("started_at").alias("at"), *TOTALS, no_error)
+        report = ran_on.select(*KEYS, F.lit(low - 1).alias("seq"), F.lit(PROGRESSED).alias("kind"), F.col("started_at").alias("at"), *TOTALS, no_error)
+        folded = fold_events(batch.unionByName(start).unionByName(report))
+        # The attempt that ran on is the fold's first; skips may have come after it.
+        known = touched.select(*KEYS, F.col("attempts").alias("__attempts"), F.col("running").alias("__running"))
+        number_of = (
+            F.when(F.col("__attempts").isNull(), F.col("attempt"))
+            .when(F.col("__running") == 0, F.col("__attempts") + F.col("attempt"))
+            .when(F.col("attempt") == 1, F.col("__running"))
+            .otherwise(F.col("__attempts") + F.col("attempt") - 1)
+        )
+        steps = folded.join(known, list(KEYS), "left").withColumn("attempt", number_of)
+        steps = steps.drop("__attempts", "__running").withColumn("version", F.lit(number).cast("bigint"))
+        steps.write.mode("overwrite").parquet(f"{base}/steps/batch={number}")
+        dropped(folded)
+        steps = session.read.schema(STEP_SCHEMA).parquet(f"{base}/steps/batch={number}")
+        runs_on = F.when(F.col("status") == "Running", F.struct("attempt", "started_at", *TOTALS))
+        last = steps.groupBy(*KEYS).agg(F.max("attempt").alias("attempt"), F.max(runs_on).alias("open"))
+        after = last.join(known, list(KEYS), "left").select(
+            *KEYS, F.greatest("attempt", "__attempts").alias("attempts"), F.coalesce("open.attempt", F.lit(0)).alias("running"),
+            "open.started_at", *[f"open.{t}" for t in TOTALS], F.lit(number).cast("bigint").alias("version"),
+        )
+        if number % SNAPSHOT == 0:
+            after = after.unionByName(before.join(after.select(*KEYS), list(KEYS), "left_anti"))
+        after.write.mode("overwrite").parquet(f"{base}/open/batch={number}")
+        # The micro-batch before this one is committed: nothing reads what lies before its snapshot.
+        for old in range(max(0, snapshot - SNAPSHOT), snapshot):
+            path = session._jvm.org.apache.hadoop.fs.Path(f"{base}/open/batch={old}")
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+    typed = with_defaults(events).select(
+        *[F.col(k).cast("string").alias(k) for k in KEYS], F.col("seq").cast("bigint").alias("seq"), "kind",
+        F.col("at").cast("timestamp").alias("at"), *[F.col(t).cast("bigint").alias(t) for t in TOTALS], "error_code",
+    ).where("run_id is not null and node_id is not null")
+    query = typed.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/steps")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return latest_steps(spark.read.schema(STEP_SCHEMA + ", batch int").parquet(f"{base}/steps").drop("batch"))
+
+
+def _open_steps(spark: SparkSession, base: str, numbers: range) -> DataFrame:
+    """The newest state of every key in these micro-batches' folders."""
+    if not numbers:
+        return spark.createDataFrame([], OPEN_SCHEMA)
+    log = spark.read.schema(OPEN_SCHEMA).parquet(*[f"{base}/open/batch={n}" for n in numbers])
+    values = [c for c in log.columns if c not in KEYS]
+    return log.groupBy(*KEYS).agg(F.max_by(F.struct(*values), "version").alias("s")).select(*KEYS, "s.*")
+
+
 def _before(flags: np.ndarray, initial: int) -> np.ndarray:
     """Position of the last flagged event before each event, or ``initial``."""
     last = np.maximum.accumulate(np.where(flags, np.arange(len(flags)), initial))

@@ -9,9 +9,10 @@ from tablewright.operators import ranks
 from tablewright.oplog.alerts import check_template, match_rules, render_template
 from tablewright.oplog.pages import matching, page, total, with_label
 from tablewright.oplog.steps import TOTALS, block_width, carried, event_problems, fold_events, status_rollup
+from tablewright.streaming import steps as streamed_steps
 from tablewright.streaming.alerts import deliver_available, match_rules_stream
 from tablewright.streaming.run import read_stream, run_available
-from tablewright.streaming.steps import fold_stream, latest_steps
+from tablewright.streaming.steps import fold_available, fold_stream, latest_steps
 
 START = datetime(2024, 1, 1)
 LOG = "run_id long, node_id string, seq long, kind string, at timestamp, rows_read long, rows_written long, batches long, bytes_read long, bytes_written long, error_code string"
@@ -118,6 +119,33 @@ def test_stream_matches_the_protocol(spark, tmp_path, batches):
     assert run_available(stream, "fold", str(tmp_path / "out"), str(tmp_path / "ck")).count() == before
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_micro_batches_match_the_protocol(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(streamed_steps, "SNAPSHOT", 2)
+    rows = random_log(11, 300)
+    if hot:
+        rows = [(1, "n", *r[2:]) for r in rows]
+    source, out, log = (str(tmp_path / f) for f in ("log", "out", "ck"))
+    schema = spark.createDataFrame([], LOG).schema
+    spark.createDataFrame([], LOG).coalesce(1).write.parquet(source)
+
+    def fold():
+        got = fold_available(read_stream(spark, source, schema, files_per_trigger=1), "fold", out, log)
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+        return sorted(map(tuple, got.withColumn("run_id", F.col("run_id").cast("bigint")).collect()), key=repr)
+
+    assert fold() == []
+    for start in range(0, 300, 100):
+        # Two micro-batches a call: attempts, running ones too, go on from call to call.
+        for at in (start, start + 50):
+            spark.createDataFrame(rows[at : at + 50], LOG).coalesce(1).write.mode("append").parquet(source)
+        assert fold() == fold_by_hand(rows[: start + 100])[0]
+    assert fold() == fold_by_hand(rows)[0]
+    # An event without a run is left out.
+    spark.createDataFrame([(None, "n", 1000, *r[3:]) for r in rows[:1]], LOG).write.mode("append").parquet(source)
+    assert fold() == fold_by_hand(rows)[0]
+
+
 def test_rollup(spark):
     steps = spark.createDataFrame([(1, "Succeeded"), (1, "Skipped"), (2, "Failed"), (2, "Cancelled"), (3, "Failed"), (3, "Succeeded"), (4, "Skipped")], "run_id long, status string")
     assert dict(map(tuple, status_rollup(steps).collect())) == {1: "Succeeded", 2: "Cancelled", 3: "Failed", 4: "Succeeded"}

@@ -17,7 +17,7 @@ from tablewright.operators.sort import top_rows
 from tablewright.plans.registry import ORACLES, QUERIES
 
 # Python runs only where no expression exists: workbooks and keyed state.
-PYTHON = {"workbook_roundtrip", "fold_events_stream"}
+PYTHON = {"workbook_roundtrip"}
 
 
 def plan_of(df):
