@@ -576,3 +576,51 @@ def test_tag_paths_keep_named_sections_and_drop_named_parts():
 @pytest.mark.parametrize("page", ["<b>" * 100_000 + "deep", "<div>x, y." * 100_000, "<div>" * 100_000 + "</p>" * 100_000 + "z.", "<p>a, b.</p>" * 20_000 + "</div>" * 50_000])
 def test_tag_paths_on_very_deep_pages(page):
     assert tag_paths.main_text(page)
+
+
+def links_of(spark, rows, label="int"):
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {label}").repartition(3)
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in lattice.near_copies(frame).collect()}
+
+
+def test_lattice_links_pairs_at_the_threshold_whatever_their_units_round_to(spark):
+    """Whole numbers of cosine 0.98 exactly; a quarter of them are below it as a product of rounded units."""
+    pick, rows = np.random.default_rng(1), []
+    while len(rows) < 600:
+        a, b, v = np.zeros(16), np.zeros(16), pick.integers(-3, 4, 16).astype(float)
+        at = pick.permutation(16)[:4]
+        a[at[0]], b[at] = 1, np.array([49, 3, 9, 3])
+        # Mirrored, which keeps lengths and products whole.
+        a, b = ((x * (v @ v) - 2 * v * (v @ x)).tolist() for x in (a, b))
+        rows += [(len(rows), a, len(rows)), (len(rows) + 1, b, len(rows))]
+    assert links_of(spark, rows) == {i: (1, i // 2 * 2) for i in range(len(rows))}
+    units = [lattice.unit_of(np.array([a[1], b[1]])) for a, b in zip(rows[::2], rows[1::2])]
+    assert sum(float((u @ u.T)[0, 1]) < 0.98 for u in units) > 30
+
+
+@pytest.mark.parametrize("d", [2, 3, 5, 17, 64, 128])
+def test_lattice_finds_all_links_near_the_threshold(spark, d):
+    pick, rows = np.random.default_rng(d), []
+    for i in range(300):
+        u, w = pick.standard_normal(d), pick.standard_normal(d)
+        u /= np.linalg.norm(u)
+        w -= w @ u * u
+        w /= np.linalg.norm(w)
+        cosine = 0.98 + 10.0 ** -pick.integers(4, 9)
+        rows += [(2 * i, u.tolist(), i), (2 * i + 1, (cosine * u + (1 - cosine * cosine) ** 0.5 * w).tolist(), i)]
+    assert links_of(spark, rows) == {i: (1, i // 2 * 2) for i in range(600)}
+
+
+def test_lattice_counts_each_link_once(spark):
+    """Dense cells cut into parts, in which every pair meets in many cells of all blocks."""
+    pick = np.random.default_rng(4)
+    base = pick.standard_normal((6, 20))
+    v = base[np.arange(240) % 6] + pick.standard_normal((240, 20)) * pick.choice([0.02, 0.1, 0.14], (240, 1))
+    want = (lattice.unit_of(v) @ lattice.unit_of(v).T >= 0.98).sum(axis=1) - 1
+    assert [n for _, (n, _) in sorted(links_of(spark, [(i, x.tolist(), 1) for i, x in enumerate(v)]).items())] == want.tolist() and want.sum() > 2000
+
+
+def test_lattice_takes_labels_that_are_no_numbers(spark):
+    nan = float("nan")
+    a, b = [1.0, 0.0, 0.0, 0.1], [1.0, 0.0, 0.0, 0.11]
+    assert links_of(spark, [(1, a, nan), (2, b, nan), (3, a, 0.0), (4, b, -0.0), (5, b, None)], "double") == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
