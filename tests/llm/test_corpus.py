@@ -624,3 +624,24 @@ def test_lattice_takes_labels_that_are_no_numbers(spark):
     nan = float("nan")
     a, b = [1.0, 0.0, 0.0, 0.1], [1.0, 0.0, 0.0, 0.11]
     assert links_of(spark, [(1, a, nan), (2, b, nan), (3, a, 0.0), (4, b, -0.0), (5, b, None)], "double") == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
+def test_big_keys_are_clustered_from_their_postings_alone(spark, monkeypatch):
+    """A passage under many texts: its keys' classes get one edge each, by no further join, and the links are whole."""
+    monkeypatch.setattr(jaccard, "BIG_KEY", 8)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)
+    plans, put = [], jaccard.Scratch.put
+
+    def watched(self, name, df):
+        if name == "big":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return put(self, name, df)
+
+    monkeypatch.setattr(jaccard.Scratch, "put", watched)
+    pick = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    passage = pick.choices(words, k=40)
+    rows = list(enumerate(" ".join(passage[: 30 + n % 11] + pick.choices(words, k=n % 7)) for n in range(90)))
+    out = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == groups(rows)
+    assert len(plans) == 1 and "Join" not in plans[0]
