@@ -620,6 +620,33 @@ def test_lattice_counts_each_link_once(spark):
     assert [n for _, (n, _) in sorted(links_of(spark, [(i, x.tolist(), 1) for i, x in enumerate(v)]).items())] == want.tolist() and want.sum() > 2000
 
 
+def test_lattice_joins_vectors_linked_through_a_later_one(spark):
+    """1 and 2 link with 3 alone, mostly in one tile; the smallest id reaches all three."""
+    pick, rows = np.random.default_rng(9), []
+    for k in range(200):
+        start, step = pick.uniform(0, 2 * np.pi), pick.uniform(0.6, 0.99) * np.arccos(0.98)
+        rows += [(10 * k + i, [float(np.cos(start + n * step)), float(np.sin(start + n * step))], k) for i, n in ((1, 0), (3, 1), (2, 2))]
+    assert links_of(spark, rows) == {10 * k + i: (1 + (i == 3), 10 * k + 1) for k in range(200) for i in (1, 2, 3)}
+
+
+@pytest.mark.parametrize("d", [136, 256, 520])
+def test_lattice_finds_links_of_long_vectors_wherever_they_differ(spark, d):
+    """Pairs that differ by the same in each of 16 blocks of one rotation, and not beside, or in each of all blocks."""
+    q = np.linalg.qr(np.random.default_rng([lattice.SEED, d]).standard_normal((d, 128)))[0]
+    every = np.zeros(d)
+    for own, blocks in lattice.projections(d):
+        every[own] += blocks[:, :, 0].sum(axis=0)
+    rows = []
+    for i in range(40):
+        u, w = np.random.default_rng(i).standard_normal(d), q[:, ::8].sum(axis=1) if i % 2 else every
+        w = w / np.linalg.norm(w)
+        u -= u @ w * w
+        u /= np.linalg.norm(u)
+        cosine = 0.98 + 10.0 ** -(4 + i % 4)
+        rows += [(2 * i, u.tolist(), i), (2 * i + 1, (cosine * u + (1 - cosine * cosine) ** 0.5 * w).tolist(), i)]
+    assert links_of(spark, rows) == {i: (1, i // 2 * 2) for i in range(80)}
+
+
 def test_lattice_takes_labels_that_are_no_numbers(spark):
     nan = float("nan")
     a, b = [1.0, 0.0, 0.0, 0.1], [1.0, 0.0, 0.0, 0.11]
