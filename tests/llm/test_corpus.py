@@ -5,6 +5,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -672,3 +673,32 @@ def test_big_keys_are_clustered_from_their_postings_alone(spark, monkeypatch):
     out = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == groups(rows)
     assert len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_jaccard_holds_one_shuffle_at_a_time(spark, monkeypatch):
+    """No table leaves shuffle files behind, and rare postings go through one exchange, a run of keys at a time."""
+    pick = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(pick.choice(words, 150)) for _ in range(30)]
+    texts += [t.replace("w7 ", "x7 ") for t in texts]
+    left, plans, put = [], [], jaccard.Scratch.put
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {str(f.getName()) for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    def watched(self, name, df):
+        before = held()
+        out = put(self, name, df)
+        end = time.time() + 10
+        while held() - before and time.time() < end:
+            time.sleep(0.1)
+        left.append((name, len(held() - before)))
+        if name.startswith("met"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "put", watched)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(frame).collect()}
+    assert out == {i: i % 30 for i in range(60)}
+    assert not [x for x in left if x[1]] and len(plans) == jaccard.RUNS + 1
+    assert all(p.count("Exchange hashpartitioning") == 1 and "Join" not in p for p in plans[: jaccard.RUNS])
