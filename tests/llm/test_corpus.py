@@ -681,7 +681,7 @@ def test_jaccard_holds_one_shuffle_at_a_time(spark, monkeypatch):
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(pick.choice(words, 150)) for _ in range(30)]
     texts += [t.replace("w7 ", "x7 ") for t in texts]
-    left, plans, put = [], [], jaccard.Scratch.put
+    plans, put = [], jaccard.Scratch.put
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     held = lambda: {str(f.getName()) for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
 
@@ -691,7 +691,7 @@ def test_jaccard_holds_one_shuffle_at_a_time(spark, monkeypatch):
         end = time.time() + 10
         while held() - before and time.time() < end:
             time.sleep(0.1)
-        left.append((name, len(held() - before)))
+        assert not held() - before, name
         if name.startswith("met"):
             plans.append(df._jdf.queryExecution().executedPlan().toString())
         return out
@@ -700,5 +700,5 @@ def test_jaccard_holds_one_shuffle_at_a_time(spark, monkeypatch):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     out = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(frame).collect()}
     assert out == {i: i % 30 for i in range(60)}
-    assert not [x for x in left if x[1]] and len(plans) == jaccard.RUNS + 1
+    assert len(plans) == jaccard.RUNS + 1
     assert all(p.count("Exchange hashpartitioning") == 1 and "Join" not in p for p in plans[: jaccard.RUNS])
